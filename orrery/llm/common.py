@@ -66,3 +66,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def odd_numbers(seed: int, n: int) -> np.ndarray:
     """n odd 64-bit multipliers, the same in every process."""
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+
+
+def carried(df: DataFrame, keep: list[str] | None, **inputs: Column) -> DataFrame:
+    """row, a struct of the columns in keep (None: all), then the named inputs: what a Python function is handed."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in keep) if keep else "*").alias("row"), *(c.alias(k) for k, c in inputs.items()))
+
+
+def mapped(df: DataFrame, function, fields: str) -> DataFrame:
+    """df, which has row first, through function (record batches to record batches of row and the fields)."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    schema = StructType([StructField("row", df.schema["row"].dataType), *_parse_datatype_string(fields).fields])
+    return df.mapInArrow(function, schema)
