@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality_rules, topk, url_filter
+from . import bpe, near_dup, packing, quality_rules, substring, topk, url_filter
 from .common import table
 
 #: Host, beginning of the path, verdict.
@@ -41,6 +41,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.linked(table(spark, sf_dir, "documents"), keep=["doc_id"], size=2, percent=80).select("row.doc_id", "n_shingles", "component_id", "kept")
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").filter("quality = 1")
     out = quality_rules.judged(table(spark, sf_dir, "documents"), good)
@@ -52,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_topk": op3_topk,
     "op4_url_filter": op4_url_filter,
+    "op5_near_dup": op5_near_dup,
+    "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
 }
 
