@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, quality_rules, substring, topk, url_filter
+from . import bpe, near_dup, packing, quality_classifier, quality_rules, substring, topk, url_filter
 from .common import table
 
 #: Host, beginning of the path, verdict.
@@ -45,6 +45,14 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"), keep=["doc_id"], size=2, percent=80).select("row.doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    out = quality_classifier.scored(docs, docs, labels, "quality", keep=["doc_id"]).select("row.doc_id", "score")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality_classifier.LEAST).cast("int").alias("predicted"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_url_filter": op4_url_filter,
     "op5_near_dup": op5_near_dup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
 }
