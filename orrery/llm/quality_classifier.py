@@ -31,12 +31,14 @@ SAMPLE = 2000
 #: Characters of those documents in all at most; the ones beyond are left out. Keeps the driver's share bounded.
 SAMPLE_CHARS = 20_000_000
 #: Dimensions of the latent space, and neighbours that vote.
-RANK, NEIGHBOURS = 48, 15
+RANK, NEIGHBOURS = 96, 15
 #: Terms: pairs of bytes, then steps of shares.
-PAIRS, STEPS, SHAPES = 1 << 16, 21, 5
+PAIRS, STEPS, SHAPES = 1 << 16, 21, 6
 TERMS = PAIRS + STEPS * SHAPES
+#: ASCII signs.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Weight of a shape term against a document's pairs of bytes, which together weigh 1.
-SHAPE_WEIGHT = 0.35
+SHAPE_WEIGHT = 0.2
 #: Score that a document of good quality has at least.
 LEAST = 0.3
 #: Documents whose products are computed at once.
@@ -49,8 +51,9 @@ def shape(words: list[bytes], text: bytes) -> list[float]:
     lines = text.split(b"\n")
     again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     capitals = sum(map(bytes.isupper, words)) / n
-    signs = n - sum(1 for w in words if w.isalnum() or w[0] > 127)
-    return [again, 1 - len(set(words)) / n, 1 - len(set(lines)) / (len(lines) or 1), capitals, signs / n]
+    plain = sum(map(bytes.isalnum, words)) / n
+    bare = sum(1 for w in words if not w.strip(SIGNS)) / n
+    return [again, 1 - len(set(words)) / n, 1 - len(set(lines)) / (len(lines) or 1), capitals, 1 - plain, bare]
 
 
 def terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +67,8 @@ def terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     pairs = np.nonzero(counts)[0]
     counts = counts[pairs]
     shares = np.array(shape(words, text))
-    steps = PAIRS + np.arange(SHAPES) * STEPS + np.minimum((shares * (STEPS - 1)).round().astype(np.int64), STEPS - 1)
-    return np.concatenate([pairs, steps]), np.concatenate([np.sqrt(counts / max(1, counts.sum())), np.full(SHAPES, SHAPE_WEIGHT)])
+    steps = np.nonzero(np.arange(STEPS) <= shares[:, None] * (STEPS - 1) + 0.5)  # near shares have most steps in common
+    return np.concatenate([pairs, PAIRS + steps[0] * STEPS + steps[1]]), np.concatenate([np.sqrt(counts / max(1, counts.sum())), np.full(len(steps[0]), SHAPE_WEIGHT)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
