@@ -17,7 +17,9 @@ rows give no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,33 +29,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEPT_WORDS, carried, mapped, shuffle_partitions, written
+from .bpe import byte_signs
+from .common import carried, mapped, shuffle_partitions, written
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 4096, 1
 #: Branchings of the search at most, fillings tried at each, and steps to find them.
 NODES, WIDTH, STEPS = 2000, 8, 4000
+#: Bytes of text whose words are looked up together, and words that are kept (see Words).
+SPAN, KEPT = 1 << 21, 500_000
 
 
-@lru_cache(maxsize=2)
-def tokenizer(text: str) -> tuple:
-    from tokenizers import Tokenizer
+class Words:
+    """Ids of words, worked out by the tokenizer and kept: those of the last KEPT to twice KEPT distinct words.
+
+    A word of letters alone is one piece for the tokenizer, and goes to its model at once; so does one with a point or
+    a comma at its end, which is a piece of its own. All other words are encoded as texts.
+    """
+
+    def __init__(self, text: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokens = Tokenizer.from_str(text)
+        self.model = self.tokens.model
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.signs = dict(byte_signs())
+        self.last = {sign: self.of_texts([sign.decode()])[0] for sign in (b".", b",")}
+
+    def of_texts(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokens.encode_batch_fast(words, add_special_tokens=False)]
 
-    return Tokenizer.from_str(text), {}
+    def of_letters(self, word: bytes) -> bytes | None:
+        """The ids of a word of letters that the tokenizer's normalizer leaves as it is; else None."""
+        text = word.decode()
+        if not text.isalpha() or text != text.lower():
+            return None
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                return None
+            text = word.decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def encoded(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each word."""
+        out: list[bytes | None] = []
+        for w in words:
+            last = self.last.get(w[-1:])
+            if last is None:
+                out.append(self.of_letters(w))
+            else:
+                stem = self.now.get(w[:-1]) if w[:-1].isalpha() else None
+                stem = stem or self.of_letters(w[:-1])
+                out.append(stem and stem + last)
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self.of_texts([words[k].decode() for k in rest]), strict=True):
+            out[k] = x
+        return out
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of texts, word by word: this kind of vocabulary has no token with a space in it, and ignores case."""
+        words = []
+        for text in texts:
+            text = text or b""
+            if b"<|" not in text:  # which could become a special token
+                text = text.lower()
+            words.append(text.split())
+        found = [list(map(self.now.get, w)) for w in words]
+        new = {w for ws, vs in zip(words, found, strict=True) if None in vs for w, v in zip(ws, vs, strict=True) if v is None}
+        if new:
+            fresh = {w: self.before[w] for w in new if w in self.before}
+            unknown = [w for w in new if w not in fresh]
+            fresh.update(zip(unknown, self.encoded(unknown), strict=True))
+            found = [[fresh[w] if v is None else v for w, v in zip(ws, vs, strict=True)] if None in vs else vs for ws, vs in zip(words, found, strict=True)]
+            if len(self.now) > KEPT:
+                self.before, self.now = self.now, {}
+            self.now.update(fresh)
+        return [b"".join(vs) for vs in found]
+
+
+@lru_cache(maxsize=2)
+def word_ids(text: str) -> Words:
+    return Words(text)
 
 
-def ids_of(text: bytes, tokens, known: dict[bytes, bytes]) -> bytes:
-    """Little-endian ids of a text, worked out word by word: this vocabulary has no token with a space in it."""
-    words = text.split()
-    new = [w for w in set(words) if w not in known]
-    if new:
-        found = tokens.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, found, strict=True))
-    out = b"".join(map(known.__getitem__, words))
-    if len(known) > KEPT_WORDS:
-        for w in new:
-            del known[w]
-    return out
+def spans(texts: list[bytes | None], size: int) -> Iterator[list[bytes | None]]:
+    """The texts in runs of about size bytes."""
+    run, held = [], 0
+    for t in texts:
+        run.append(t)
+        held += len(t or b"")
+        if held >= size:
+            yield run
+            run, held = [], 0
+    if run:
+        yield run
 
 
 def pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -64,11 +134,11 @@ def pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     file = docs.sparkSession.sparkContext.broadcast(open(path, encoding="utf-8").read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, known = tokenizer(file.value)
+        known, last = word_ids(file.value), end.to_bytes(4, "little")
         for batch in batches:
             whose, rows, ids = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = ids_of(text or b"", tokens, known) + end.to_bytes(4, "little")
+            for k, raw in enumerate(x for run in spans(batch.column(1).to_pylist(), SPAN) for x in known.ids(run)):
+                raw += last
                 for p, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     whose.append(k)
