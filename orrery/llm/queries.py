@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, quality_classifier, quality_rules, substring, topk, url_filter
+from . import bpe, chat, lm_score, near_dup, packing, quality_classifier, quality_rules, substring, topk, url_filter
 from .common import table
 
 #: Host, beginning of the path, verdict.
@@ -53,6 +53,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality_classifier.LEAST).cast("int").alias("predicted"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations")).select(F.col("conv").alias("conv_id"), F.col("nth_row").alias("turn"), "part", "role", "rendered")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "log_score", "mean_score")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_near_dup": op5_near_dup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_chat": op7_chat,
+    "op8_lm_score": op8_lm_score,
     "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
 }
