@@ -234,3 +234,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     of_class = ids.join(first, "component").select(F.col("class").alias("of"), "component_id")
     out = base.join(of_class, F.col("class") == F.col("of"), "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select("row", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """The documents that linked() keeps, with the columns they came with."""
+    kept = linked(docs, id_col, text_col, keep=[id_col], **how).filter("kept").select(F.col(f"row.`{id_col}`").alias("kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")

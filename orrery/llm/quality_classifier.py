@@ -149,3 +149,8 @@ def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, label_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], names=["row", "score"])
 
     return mapped(carried(docs, keep, text=F.col(text_col).cast("binary")), score, "score double")
+
+
+def kept_documents(docs: DataFrame, labelled: DataFrame, labels: DataFrame, least: float = LEAST, **how: object) -> DataFrame:
+    """The documents whose score is at least `least`, with the columns they came with."""
+    return scored(docs, labelled, labels, **how).filter(F.col("score") >= least).select("row.*")

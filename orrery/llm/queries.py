@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lm_score, near_dup, packing, quality_classifier, quality_rules, substring, topk, url_filter
@@ -20,6 +20,11 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def held_out(id_col: str) -> Column:
+    """Whether a document's label is kept from the classifier."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     ids = bpe.encoded(table(spark, sf_dir, "documents"), path, keep=["doc_id"], packed=True)
@@ -47,7 +52,6 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id"))
     out = quality_classifier.scored(docs, docs, labels, "quality", keep=["doc_id"]).select("row.doc_id", "score")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality_classifier.LEAST).cast("int").alias("predicted"))

@@ -257,8 +257,11 @@ def places_of(found: DataFrame) -> DataFrame:
     return joined.groupBy("id", "hash").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, capacity: int = CAPACITY) -> DataFrame:
-    """row, n_words, n_removed, kept_text (words left, joined by a space) and removed (spans of words, end not included) of every document."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, anchor: int = ANCHOR, capacity: int = CAPACITY, verbatim: bool = False) -> DataFrame:
+    """row, n_words, n_removed, kept_text (words left, joined by a space) and removed (spans of words, end not included) of every document.
+
+    verbatim: a text that loses nothing is kept as it is, with all its white space.
+    """
     parts = shuffle_partitions(docs.sparkSession)
     buckets, groups = 4 * parts, 16 * parts
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
@@ -299,13 +302,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         words = (texts[k].as_py() or b"").split()
                         n.append(len(words))
                         removed.append(0)
-                        left.append(b" ".join(words))
+                        left.append((texts[k].as_py() or b"") if verbatim else b" ".join(words))
                         spans.append([])
                         continue
                     words, out = b.words[j], gone[b.firsts[j] : b.firsts[j] + b.lengths[j]]
                     n.append(len(words))
                     removed.append(int(out.sum()))
-                    left.append(b" ".join([words[i] for i in np.nonzero(~out)[0]]))
+                    left.append(texts[k].as_py() if verbatim and not out.any() else b" ".join([words[i] for i in np.nonzero(~out)[0]]))
                     edges = np.nonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))[0].reshape(-1, 2)
                     spans.append([{"start": a, "end": z} for a, z in edges.tolist()])
                 yield pa.RecordBatch.from_arrays(
