@@ -42,7 +42,7 @@ PREFIXES = (1, 2, 4, 7, 0)
 #: Suffixes of a group at most, unless all share the longest prefix.
 CAPACITY = 1 << 20
 #: Words of a block, about.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 PARTS = "kind int, bucket int, block long, doc array<int>, pos array<int>, one array<long>, two array<long>, ids array<long>"
 
 
@@ -58,10 +58,15 @@ def hashed(codes: np.ndarray, size: int, seed: int) -> np.ndarray:
 class Block:
     """Some documents as one array of word hashes."""
 
-    def __init__(self, texts: list[bytes | None], known: WordHashes, window: int, anchor: int) -> None:
-        self.words = [(t or b"").split() for t in texts]
-        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.codes = np.fromiter((known[w] for words in self.words for w in words), dtype=np.uint64, count=int(self.lengths.sum()))
+    def __init__(self, texts: list[bytes | None], known: WordHashes, window: int, anchor: int, keep_words: bool = False) -> None:
+        self.words, codes = [], []
+        for t in texts:
+            words = (t or b"").split()
+            codes.append(np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)))
+            if keep_words:
+                self.words.append(words)
+        self.lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        self.codes = np.concatenate([np.zeros(0, np.uint64), *codes])
         self.firsts = np.cumsum(self.lengths) - self.lengths
         self.doc = np.repeat(np.arange(len(texts)), self.lengths)
         left = np.repeat(self.firsts + self.lengths, self.lengths) - np.arange(len(self.codes))
@@ -284,7 +289,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for batch in blocks(iter([whole]), 1):
                 texts, places = batch.column(1), batch.column(2)
                 has = np.nonzero(places.is_valid().to_numpy(zero_copy_only=False))[0]
-                b = Block([texts[k].as_py() for k in has], known, window, anchor)
+                b = Block([texts[k].as_py() for k in has], known, window, anchor, keep_words=True)
                 lists = places.take(pa.array(has))
                 doc = np.repeat(np.arange(len(has)), np.diff(lists.offsets.to_numpy()))
                 at = b.at(doc, lists.flatten().to_numpy())
