@@ -6,11 +6,12 @@ two signature values for one hash evaluation, each equal in two sets with the pr
 of signature values are bucket keys.
 
 In each bucket the class with the least key is the pivot, and every member forms a pair with it (never members among
-themselves). Pairs whose signatures agree too seldom for the similarity (six standard deviations below it) go; the
-others are confirmed on full sets, first each class's most similar pivot, then the pivots not connected to it by
-then. Members of a bucket that are still in different components are compared by their signatures in blocks of
-bounded size, each comparison inside a task, and only likely pairs leave it, to be confirmed too. So hot buckets cost
-no more than their members times what is left unconnected, and no link is given up.
+themselves). Pairs whose signatures agree too seldom for the similarity (4.5 standard deviations below it) go; each
+class's most similar pivot is confirmed on full sets. Members of a bucket that are still in different components are
+compared by their signatures in blocks of bounded size, inside a task: those with a likely partner leave it, are
+joined to their full sets, and in a second such task the likely pairs are confirmed, the most similar first, until
+what is linked is connected. So a bucket yields no more rows than it has members, however alike they are, and no link
+between components is given up.
 
 With 38 bands of 6 values a pair of similarity 0.8 shares no band with probability 1e-5, one of 0.9 with 1e-13.
 
@@ -34,6 +35,8 @@ from .common import WordHashes, carried, mapped, mixed, odd_numbers, written
 
 #: Bands, and signature values of each. Half of the bands hold least values, half largest ones.
 BANDS, ROWS = 38, 6
+#: Standard deviations below the similarity at which a pair's signatures rule it out.
+DEVIATIONS = 4.5
 #: Members of a bucket that one task compares with as many others at most.
 BLOCK = 2048
 #: Shingles that go through a permutation at once.
@@ -167,8 +170,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
+def likely_links(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Members k of a group that are not of its largest component, with the members of other components they may be linked to and how alike they are."""
+    mine, low, high = group["mine"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
+    parts = group["component"].to_numpy()
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
+    names, counts = np.unique(parts, return_counts=True)
+    for k in np.nonzero(parts != names[np.argmax(counts)])[0]:
+        others = np.nonzero((parts != parts[k]) & ((mine != mine[k]) if low != high else True))[0]
+        alike = (sig[others] == sig[k]).mean(axis=1)
+        fine = alike >= least
+        if fine.any():
+            yield int(k), others[fine], alike[fine]
+
+
 def unconnected(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """a, b: likely pairs of members of one bucket that are in different components."""
+    """Members of buckets that may be linked to one of another component there: key, low, high, mine, class, component."""
     named = buckets.join(labels, buckets["class"] == labels["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
     parts = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("members")).filter("first <> last")
     parts = parts.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
@@ -179,27 +196,48 @@ def unconnected(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: f
     members = members.select("*", other).select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component", "sig")
 
     def compare(group: pa.Table) -> pa.Table:
-        mine, low, high = group["mine"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
-        classes, parts = group["class"].to_numpy(), group["component"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
-        names, counts = np.unique(parts, return_counts=True)
-        small = np.nonzero(parts != names[np.argmax(counts)])[0]  # the largest component's members need no comparison with each other
-        a, b = [], []
-        for k in small:
-            others = np.nonzero((parts != parts[k]) & ((mine != mine[k]) if low != high else True))[0]
-            fine = others[(sig[others] == sig[k]).mean(axis=1) >= least]
-            a.append(np.minimum(classes[fine], classes[k]))
-            b.append(np.maximum(classes[fine], classes[k]))
-        return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-
-    return members.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+        found = [np.append(others, k) for k, others, _ in likely_links(group, least)]
+        return group.take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))).drop_columns("sig")
+
+    return members.groupBy("key", "low", "high").applyInArrow(compare, "key long, low int, high int, mine int, class long, component long")
+
+
+def links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """a, b: links, confirmed on full sets, that connect all components that links between a group's members connect."""
+    whole = members.join(sigs, "class").join(sets, "class").select("key", "low", "high", "mine", "class", "component", "sig", "shingles")
+
+    def connect(group: pa.Table) -> pa.Table:
+        classes, parts = group["class"].to_pylist(), group["component"].to_pylist()
+        lists = group["shingles"].combine_chunks()
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets = [values[at[k] : at[k + 1]] for k in range(group.num_rows)]
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                top[x] = x = top.get(top[x], top[x])
+            return x
+
+        pairs = [(-s, min(k, o), max(k, o)) for k, others, alike in likely_links(group, least) for o, s in zip(others.tolist(), alike.tolist(), strict=True)]
+        out = []
+        for _, k, o in sorted(set(pairs)):  # the most alike first: what they connect needs no further confirmation
+            one, two = root(parts[k]), root(parts[o])
+            if one == two:
+                continue
+            both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
+            if 100 * both >= percent * (len(sets[k]) + len(sets[o]) - both):
+                top[max(one, two)] = min(one, two)
+                out.append((classes[k], classes[o]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return whole.groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is the row's) of every document."""
     names = list(dict.fromkeys([*(keep or docs.columns), id_col]))
     base = written(signed(docs, text_col, names, size, bands, rows).withColumn("id", F.col(f"row.`{id_col}`")))
-    least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
+    least = percent / 100 - DEVIATIONS * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
     sigs = base.filter("class is not null").groupBy("class").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("id").alias("id"))
     sigs = written(sigs)
     buckets = sigs.select("class", F.explode("keys").alias("key"))
@@ -208,25 +246,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     pairs = buckets.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
     pairs = written(likely(pairs, sigs.select("class", "sig"), least))
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(sigs.select("class", "id"), "class").select(F.col("id").alias("needed")).distinct()
+    def sets_for(classes: DataFrame) -> DataFrame:
+        need = classes.distinct().join(sigs.select("class", "id"), "class").select(F.col("id").alias("needed")).distinct()
         texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("needed")), "left_semi")
         return written(with_sets(texts, "text", size).groupBy("class").agg(F.first("shingles").alias("shingles")))
 
-    sets = sets_for(pairs)
     best = Window.partitionBy("b").orderBy(F.desc("alike"), "a")
-    ranked = written(pairs.withColumn("nth", F.row_number().over(best)))
-    links = written(confirmed(ranked.filter("nth = 1"), sets, percent))
-    labels = components(links)
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        one, two = (labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
-        return pairs.join(one, "a", "left").join(two, "b", "left").filter(~(F.coalesce("of_a", "a") == F.coalesce("of_b", "b"))).select("a", "b")
-
-    links = links.union(written(confirmed(apart(ranked.filter("nth > 1"), labels), sets, percent)))
+    first = written(pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b"))
+    links = written(confirmed(first, sets_for(first.select(F.explode(F.array("a", "b")).alias("class"))), percent))
     labels = components(links)
-    rest = written(unconnected(buckets, labels, sigs.select("class", "sig"), least).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.union(written(confirmed(rest, sets_for(rest), percent)))
+    members = written(unconnected(buckets, labels, sigs.select("class", "sig"), least))
+    links = links.union(written(links_between(members, sigs.select("class", "sig"), sets_for(members.select("class")), least, percent)))
     labels = components(links)
 
     ids = sigs.select("class", "id").join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
