@@ -48,6 +48,11 @@ FEATURES = 16
 R = len(ROLES)
 
 
+def role_of(marker: str | None) -> int:
+    """The role that a row's marker names, or -1."""
+    return ROLE_OF.get((marker or "").strip().lower(), -1)
+
+
 def line_features(line: str) -> int:
     n = len(line)
     bare = line.strip()
@@ -58,7 +63,7 @@ def lines_of(marker: str | None, text: str | None) -> list[tuple[str, int, int,
     """Lines of a row as (text without its marker, role its marker names or -1, features, whether it may begin a turn)."""
     out = []
     for k, line in enumerate((text or "").split("\n")):
-        named = ROLE_OF.get((marker or "").strip().lower(), -1) if k == 0 else -1
+        named = role_of(marker) if k == 0 else -1
         if m := LINE_MARKER.match(line):
             named, line = ROLE_OF[m[1].lower()] if k or named < 0 else named, line[m.end() :]
         out.append((line, named, line_features(line), k == 0 or bool(m)))
@@ -121,19 +126,18 @@ def conversations(group: pa.Table) -> list[tuple[object, list[int]]]:
 
 
 def counted(group: pa.Table) -> pa.Table:
-    """A chunk's counts of first roles, roles after roles and features of roles over rows with known markers, and its edges."""
+    """A chunk's counts of first roles, roles after roles and features of roles over rows with known markers."""
     group = group.sort_by("seq")
     first, follow, emit = np.zeros(R), np.zeros((R, R)), np.zeros((R, FEATURES))
     marks, texts, heads = group["marker"].to_pylist(), group["text"].to_pylist(), group["head"].to_pylist()
-    last = None
     for _, rows in conversations(group):
-        last = None
+        last = -1
         for k in rows:
-            role = ROLE_OF.get((marks[k] or "").strip().lower())
-            if role is not None:
+            role = role_of(marks[k])
+            if role >= 0:
                 if heads[k]:
                     first[role] += 1
-                elif last is not None:
+                elif last >= 0:
                     follow[last, role] += 1
                 for line in lines_of(None, texts[k]):
                     emit[role, line[2]] += 1
@@ -149,8 +153,9 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn"
     dealt = base.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     dealt = written(dealt.select("conv", "nth_row", "marker", "text", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("seq")))
     # one row for each chunk: the conversations at its two ends
-    ends = dealt.groupBy("chunk").agg(F.min_by(F.struct("conv"), "seq").alias("first"), F.max_by(F.struct("conv"), "seq").alias("last")).orderBy("chunk").collect()
-    crosses = {ends[k]["chunk"] for k in range(1, len(ends)) if ends[k - 1]["last"] == ends[k]["first"]}  # their first conversation began before
+    ends = dealt.groupBy("chunk").agg(F.min_by(F.struct("conv", "marker"), "seq").alias("first"), F.max_by(F.struct("conv", "marker"), "seq").alias("last")).orderBy("chunk").collect()
+    meets = [(a, b) for a, b in zip(ends, ends[1:], strict=False) if a["last"]["conv"] == b["first"]["conv"]]
+    crosses = {b["chunk"] for _, b in meets}  # their first conversation began before
 
     def with_heads(group: pa.Table) -> pa.Table:
         group = group.sort_by("seq")
@@ -163,6 +168,10 @@ def formatted(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn"
     counts = np.zeros(R + R * R + R * FEATURES)
     for r in totals.collect():
         counts[r["k"]] = r["n"]
+    for a, b in meets:
+        pair = [role_of(x["marker"]) for x in (a["last"], b["first"])]
+        if min(pair) >= 0:
+            counts[R + R * pair[0] + pair[1]] += 1
     model = logs(counts[:R], counts[R : R + R * R].reshape(R, R), counts[R + R * R :].reshape(R, FEATURES))
 
     given: dict[int, dict] = {e["chunk"]: {"before": None, "first": None, "last": None} for e in ends}
