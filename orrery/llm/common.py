@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.shared import written
+
+__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "shuffle_partitions", "table", "words_of", "written"]
+
 #: Characters between words, in every operator: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: The same as a regular expression.
@@ -21,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share (/tmp/checkpoints where the session has none, as in tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{top}/orrery/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing of it."""
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

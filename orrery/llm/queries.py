@@ -62,7 +62,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", "log_score", "mean_score")
+    return lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_score")))
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+#: The words of a text, in SQL.
+_WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
 SQL: dict[str, str] = {
     "op3_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS p FROM embeddings
@@ -109,4 +112,33 @@ SQL: dict[str, str] = {
         w AS (SELECT page_id, rule, rule_verdict FROM m
               QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, host_length DESC, rule_verdict DESC) = 1)
         SELECT u.page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM u LEFT JOIN w USING (page_id)""",
+    "op5_near_dup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) END AS shingles FROM d),
+        c AS (SELECT shingles, len(shingles) AS n, min(doc_id) AS id FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+        p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS sizes, len(list_intersect(a.shingles, b.shingles)) AS same FROM c a JOIN c b ON a.id <> b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        e AS (SELECT a, b FROM p WHERE 100 * same >= 80 * (sizes - same)),
+        r AS (SELECT id, id AS other FROM c UNION SELECT e.b, r.other FROM r JOIN e ON r.id = e.a),
+        m AS (SELECT id, min(other) AS component FROM r GROUP BY id)
+        SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
+        FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN m ON c.id = m.id""",
+    "op8_lm_score": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+        g AS (SELECT doc_id, k, word, lag(word) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM t),
+        one AS (SELECT word, count(*) AS n FROM g GROUP BY word), two AS (SELECT before, word, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY before, word),
+        x AS (SELECT g.doc_id, CASE WHEN two.n >= 2 THEN ln(two.n::DOUBLE / h.n) ELSE CASE WHEN g.before IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END + ln(one.n::DOUBLE / (SELECT count(*) FROM t)) END AS score
+              FROM g JOIN one USING (word) LEFT JOIN two ON two.before = g.before AND two.word = g.word LEFT JOIN one h ON h.word = g.before)
+        SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(x.score), 0), 6) AS log_score, round(sum(x.score) / len(any_value(d.w)), 6) AS mean_score
+        FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id""",
+    "op9_substring": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        p AS (SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM p),
+        m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS k FROM g JOIN m USING (s) WHERE doc_id > least),
+        t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM t ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+        n AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
