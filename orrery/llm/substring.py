@@ -268,7 +268,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verbatim: a text that loses nothing is kept as it is, with all its white space.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    buckets, groups = 4 * parts, 16 * parts
+    buckets, groups = 2 * parts, 2 * parts
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
     able = keyed.filter("id is not null and text is not null")
     found = written(anchors_dealt(able, window, anchor, buckets, groups).groupBy("bucket").applyInArrow(shared_anchors, PARTS))
