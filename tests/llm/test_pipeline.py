@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from conftest_llm import ODD, prose
 
 import corpus_pipeline
 from orrery.llm.common import table
@@ -25,3 +26,18 @@ def test_stages(spark, tmp_path):
     ended = {r["doc_id"] for r in docs.collect()}
     assert ended == set(seen[3])
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()} == ended
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and columns, odd texts, repeated rows, no rows, further columns of names that the stages use themselves."""
+    texts = [*ODD, prose(3, 200), prose(3, 200), prose(4, 150) + " " + prose(5, 60), prose(6, 150) + " " + prose(5, 60)]
+    rows = [(k if k % 4 else None, t, None, None, len(t) if t else None, "r", 1, 0.5) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, lang string, source string, n_chars long, row string, id int, score double")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        assert name == "packing" or out.columns == docs.columns
+        assert len(got) > 0 or name.startswith("quality")
+        assert stage(spark, docs.limit(0), DATA).collect() == []
+        if name == "substring":
+            assert len(got) == docs.count() and all(r["n_chars"] is None or r["n_chars"] == len(r["text"]) for r in got)
