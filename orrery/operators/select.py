@@ -57,7 +57,8 @@ def missing(records: DataFrame, files: DataFrame, key: str = "path") -> DataFram
 def missing_preview(records: DataFrame, files: DataFrame, key: str = "path", listed: int = LISTED) -> DataFrame:
     """pos and key of the first missing records, and more, the number of further ones, in each row."""
     lost = missing(records, files, key).select("pos", key)
-    return lost.orderBy("pos").limit(listed).crossJoin(lost.agg(F.greatest(F.count("*") - listed, F.lit(0)).alias("more")))  # one row
+    more = lost.agg(F.greatest(F.count("*") - listed, F.lit(0))).scalar()
+    return lost.orderBy("pos").limit(listed).withColumn("more", more)
 
 
 def require_files(records: DataFrame, files: DataFrame) -> None:

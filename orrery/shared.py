@@ -7,10 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which driver and executors share (/tmp/checkpoints where the session has none, as in tests)."""
+def top_folder(spark: SparkSession) -> str:
+    """This application's part of spark.checkpoint.dir, which driver and executors share (/tmp/checkpoints where the session has none, as in tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{top}/orrery/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{top}/orrery/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder among those."""
+    return f"{top_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that this application wrote; results that still depend on them can't be computed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(top_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
