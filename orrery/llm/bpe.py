@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import carried, mapped
 
 #: White space of Unicode, and the pieces of byte-level vocabularies of this kind.
-WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Pieces kept with their ids in a Python worker at most.
 KEPT_PIECES = 250_000
