@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from orrery.errors import RetrievalError
 from orrery.functions import vectors
+from orrery.shared import ship
 from orrery.sources.config import ModelConfig
 
 #: Names of interpolations, and what the image library calls them.
@@ -85,6 +86,7 @@ def pooled(features: np.ndarray) -> np.ndarray:
 
 def embedded(records: DataFrame, model: ModelConfig, embedder: Embedder | None = None) -> DataFrame:
     """pos, image_id, file_name and features of records, which have path (on a file system that executors share)."""
+    ship(records.sparkSession)
     make = embedder or embedder_for(model)
     interpolation(model.interpolation)
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors
+from orrery.shared import ship
 
 #: Rows of a shard and queries of a block at most, about.
 SHARD, BLOCK = 8192, 512
@@ -46,6 +47,7 @@ def scored_pairs(features: DataFrame, queries: DataFrame) -> DataFrame:
 
 def top_k(features: DataFrame, queries: DataFrame, k: int, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_ord, query_pos, rank, pos and score. features: pos and features, all of one length; queries: query_ord and query_pos."""
+    ship(features.sparkSession)
     rows, asked = features.count(), queries.count()
     k = min(k, rows - 1)  # one row less than there are: a query's own never counts
     shards, blocks = -(-rows // shard) or 1, -(-asked // block) or 1

@@ -1,12 +1,32 @@
-"""Tables in the folder that driver and executors share."""
+"""What driver and executors share: this package, and tables in a folder."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once in an application; they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / f"{here.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(here.rglob("*.py")):
+            out.write(file, file.relative_to(here.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def top_folder(spark: SparkSession) -> str:
     """This application's part of spark.checkpoint.dir, which driver and executors share (/tmp/checkpoints where the session has none, as in tests)."""
     top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
@@ -27,5 +47,6 @@ def clear(spark: SparkSession) -> None:
 def written(df: DataFrame) -> DataFrame:
     """The rows of df as a Parquet table in the shared folder: cuts the lineage, and lost executors cost nothing of it."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    ship(spark)
     df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
