@@ -7,9 +7,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.shared import written
+from orrery.shared import ship, written
 
-__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "shuffle_partitions", "table", "words_of", "written"]
+__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "ship", "shuffle_partitions", "table", "words_of", "written"]
 
 #: Characters between words, in every operator: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -59,6 +59,7 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
 
 def carried(df: DataFrame, keep: list[str] | None, **inputs: Column) -> DataFrame:
     """row, a struct of the columns in keep (None: all), then the named inputs: what a Python function is handed."""
+    ship(df.sparkSession)
     return df.select(F.struct(*(F.col(f"`{c}`") for c in keep) if keep else "*").alias("row"), *(c.alias(k) for k, c in inputs.items()))
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 8192, 1024
 #: Vectors that are traversed at once, and terms that are probed at once.
@@ -90,6 +92,7 @@ def matrix(column: pa.ChunkedArray, terms: int) -> np.ndarray:
 
 def searched(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, id and score: the k best rows for each row that is_query holds for, against all other rows."""
+    ship(vectors.sparkSession)
     all_rows = vectors.withColumn("is_query", is_query).select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("parts"), F.coalesce("is_query", F.lit(False)).alias("is_query"))
     all_rows = all_rows.filter("id is not null and parts is not null")
     n = all_rows.agg(F.count("*").alias("rows"), F.count_if("is_query").alias("queries")).first()
