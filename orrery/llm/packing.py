@@ -96,18 +96,31 @@ class Words:
                 text = text.lower()
             words.append(text.split())
         found = [list(map(self.now.get, w)) for w in words]
-        new = {w for ws, vs in zip(words, found, strict=True) if None in vs for w, v in zip(ws, vs, strict=True) if v is None}
+        gaps = [list(places_of_none(vs)) for vs in found]
+        new = {ws[k] for ws, at in zip(words, gaps, strict=True) for k in at}
         if new:
             fresh = {w: self.before[w] for w in new if w in self.before}
             unknown = [w for w in new if w not in fresh]
             fresh.update(zip(unknown, self.encoded(unknown), strict=True))
-            found = [[fresh[w] if v is None else v for w, v in zip(ws, vs, strict=True)] if None in vs else vs for ws, vs in zip(words, found, strict=True)]
+            for ws, vs, at in zip(words, found, gaps, strict=True):
+                for k in at:
+                    vs[k] = fresh[ws[k]]
             if len(self.now) > KEPT:
                 self.before, self.now = self.now, {}
             self.now.update(fresh)
         return [b"".join(vs) for vs in found]
 
 
+def places_of_none(values: list) -> Iterator[int]:
+    k = -1
+    try:
+        while True:
+            k = values.index(None, k + 1)
+            yield k
+    except ValueError:
+        return
+
+
 @lru_cache(maxsize=2)
 def word_ids(text: str) -> Words:
     return Words(text)
