@@ -27,7 +27,7 @@ def test_against_brute_force(spark, monkeypatch, n, d, step):
     rng = np.random.default_rng(n + step)
     x = rng.normal(0, 0.25, (n, d)).astype(np.float32)
     x[5:25] = x[5]  # ties
-    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist()), (40, x[40].tolist()), (None, x[1].tolist()), (400, None), (500, []), (600, [float("nan")] * d), (601, [None] * d), (602, [1e30] * d)]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(7, x[7].tolist()), (20, x[20].tolist()), (None, x[1].tolist()), (400, None), (500, []), (600, [float("nan")] * d), (601, [None] * d), (602, [1e30] * d)]
     df = spark.createDataFrame([(i, v, "s") for i, v in rows], SCHEMA)
     got = topk.searched(df, F.col("vec_id") % 20 == 0, 20).collect()
     assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got) == brute([r for r in rows if r[0] != 602], 20)
