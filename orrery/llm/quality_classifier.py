@@ -41,8 +41,10 @@ SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 SHAPE_WEIGHT = 0.2
 #: Score that a document of good quality has at least.
 LEAST = 0.3
-#: Documents whose products are computed at once.
-BLOCK = 256
+#: Documents whose products are computed at once, and terms of the sample that are held at once while it is fitted.
+BLOCK, FIT_TERMS = 256, 512
+#: The decomposition: dimensions besides RANK that are carried along, and rounds at most.
+SPARE, ROUNDS = 32, 200
 
 
 def shape(words: list[bytes], text: bytes) -> list[float]:
@@ -75,20 +77,56 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def leading(products: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues, at most rank of them and none of zero, and their vectors: subspace iteration, until they stand still."""
+    n = len(products)
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(n, rank + SPARE))))[0]
+    squares = np.full(min(n, rank), np.inf)
+    for _ in range(ROUNDS):
+        last, image = squares, products @ basis
+        squares, turn = np.linalg.eigh(basis.T @ image)
+        squares, vectors = squares[::-1][:rank], basis @ turn[:, ::-1][:, :rank]
+        if np.abs(squares - last).max() <= 1e-9 * squares[0]:
+            break
+        basis = np.linalg.qr(image)[0]
+    kept = squares > 1e-10
+    return squares[kept], vectors[:, kept]
+
+
 def fitted(texts: list[bytes | None], labels: list[int], rank: int) -> dict:
-    """Terms in use, their weights, the projection, and the sample's vectors and labels."""
+    """Terms in use, their weights, the projection, and the sample's vectors and labels.
+
+    The decomposition is taken from the sample's matrix of inner products; the term matrix itself is only held a block
+    of terms at a time.
+    """
     rows = [terms(t) for t in texts]
     used, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[0] for r in rows)]), return_counts=True)
     place = np.full(TERMS, -1, np.int64)
     place[used] = np.arange(len(used))
     weights = np.log((1 + len(rows)) / (1 + counts)) + 1
-    matrix = np.zeros((len(rows), len(used)))
-    for k, (t, c) in enumerate(rows):
-        matrix[k, place[t]] = c * weights[place[t]]
-    matrix = unit(matrix)
-    _, sizes, vectors = np.linalg.svd(matrix, full_matrices=False)
-    projection = vectors[: min(rank, int((sizes > 1e-9).sum()))].T
-    return {"place": place, "weights": weights, "projection": projection, "vectors": unit(matrix @ projection), "labels": np.array(labels, dtype=float)}
+    whose = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t, _ in rows])
+    at = place.astype(np.int32)[np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)])]
+    values = np.concatenate([np.zeros(0), *(c for _, c in rows)]) * weights[at]
+    del rows
+    values /= np.maximum(np.sqrt(np.bincount(whose, values * values, minlength=len(texts))), 1e-12)[whose]
+    order = np.argsort(at, kind="stable")
+    whose, at, values = whose[order], at[order], values[order]
+
+    def by_terms() -> Iterator[np.ndarray]:
+        for first in range(0, len(used), FIT_TERMS):
+            a, z = np.searchsorted(at, [first, first + FIT_TERMS])
+            part = np.zeros((len(texts), min(FIT_TERMS, len(used) - first)))
+            part[whose[a:z], at[a:z] - first] = values[a:z]
+            yield part
+
+    products = np.zeros((len(texts), len(texts)))
+    for part in by_terms():
+        products += part @ part.T
+    squares, left = leading(products, rank)
+    del products
+    sizes = np.sqrt(squares)
+    projection = np.concatenate([np.zeros((0, len(sizes))), *(part.T @ left / sizes for part in by_terms())])
+    return {"place": place, "weights": weights, "projection": projection, "vectors": unit(left * sizes), "labels": np.array(labels, dtype=float)}
 
 
 def scores(model: dict, texts: list[bytes | None], neighbours: int) -> np.ndarray:

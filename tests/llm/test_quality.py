@@ -4,6 +4,7 @@ import os
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest_llm import ODD, prose
 
@@ -73,3 +74,13 @@ def test_classifier_cases(spark, make_docs):
     assert run(docs.limit(0), labels((5, 1), (8, 0))) == []
     kept = quality_classifier.kept_documents(docs, docs, labels((5, 1), (8, 0), (9, 1)))
     assert kept.columns == docs.columns
+
+
+@pytest.mark.parametrize(("n", "terms", "rank"), [(300, 120, 40), (30, 200, 96), (7, 3, 5)])
+def test_leading_vectors(n, terms, rank):
+    x = np.random.default_rng(n).random((n, terms)) ** 4
+    _, sizes, _ = np.linalg.svd(x)
+    squares, vectors = quality_classifier.leading(x @ x.T, rank)
+    assert np.allclose(squares, sizes[:rank] ** 2)
+    assert np.allclose(vectors.T @ vectors, np.eye(len(squares)))
+    assert np.abs(x @ x.T @ vectors - vectors * squares).max() <= 1e-3 * squares[0]
