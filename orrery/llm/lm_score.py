@@ -4,10 +4,11 @@ S(w | h) = count(h w) / count(h) if count(h w) >= least, else `backoff` * S(w |
 count(w) / words. A document's score is the sum of log S over its words; words at its beginning have shorter h.
 
 Documents are dealt to blocks of bounded size. A block lists its distinct n-grams (64-bit hashes) with their numbers,
-dealt to buckets by hash; a bucket adds up each n-gram's numbers, which makes its share of the count table, and joins
-the sums back to the lists that asked, in their order; each block then looks its n-grams up and sums the logarithms
-per document. The most frequent n-gram is one entry in each block's list. What is shuffled is the texts once (both
-steps on blocks use one exchange) and each block's distinct n-grams.
+dealt to buckets by ranges of the hash; a bucket adds up each n-gram's numbers, which makes its share of the count
+table, and answers each list with the sums that differ from the block's own numbers, so n-grams of one block alone get
+no answer; each block then looks its n-grams up and sums the logarithms per document. The most frequent n-gram is one
+entry in each block's list. What is shuffled is the texts once (both steps on blocks use one exchange) and each block's
+distinct n-grams, as compressed differences of ascending hashes.
 
 Cases: null and empty texts have no words, the score 0 and no mean. Texts of one word have only the unigram's score.
 Repeated rows count and are scored as often as they occur. Null ids and further columns of any name pass through in
@@ -26,6 +27,8 @@ from .common import WordHashes, carried, mixed, odd_numbers, shuffle_partitions
 
 #: Words of the longest n-gram, the factor of each backoff, and the number from which an n-gram of two or more words counts.
 ORDER, BACKOFF, LEAST = 2, 0.4, 2
+#: The order of the query that does the production job; ORDER is that of the query whose rows SQL gives.
+LONG_ORDER = 3
 #: Bytes of text in a block, about.
 BLOCK = 12 << 20
 #: Stands for all words; its number is the corpus's.
@@ -34,9 +37,10 @@ ALL = np.uint64(1)
 
 def n_grams(texts: list[bytes | None], order: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words of each text, each word's place in its text, and the hashes of the n-grams of 1 to order words that end at each word."""
-    words = [(t or b"").split() for t in texts]
-    lengths = np.array([len(w) for w in words], dtype=np.int64)
-    codes = np.fromiter((known[w] for ws in words for w in ws), dtype=np.uint64, count=int(lengths.sum()))
+    parts = [np.fromiter(map(known.__getitem__, (t or b"").split()), dtype=np.uint64) for t in texts]
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    codes = np.concatenate([np.zeros(0, np.uint64), *parts])
+    del parts
     place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out = []
     for n in range(1, order + 1):
@@ -47,13 +51,27 @@ def n_grams(texts: list[bytes | None], order: int, known: WordHashes) -> tuple[n
     return lengths, place, out
 
 
-def listed(place: np.ndarray, grams: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct n-grams, in the order of their buckets and hashes; their numbers and buckets."""
+def listed(place: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams, ALL and then ascending, and their numbers."""
     keys, counts = np.unique(np.concatenate([g[place >= n] for n, g in enumerate(grams)]), return_counts=True)
-    keys, counts = np.append(keys, ALL), np.append(counts, len(place))
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return keys[order], counts[order], bucket[order]
+    return np.concatenate([[ALL], keys]), np.concatenate([[len(place)], counts])
+
+
+def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash: equal ranges, so ascending hashes have ascending buckets."""
+    return (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """The numbers' lowest bytes, then the next ones and so on, compressed after their size."""
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(data[:4], "little")
+    raw = pa.decompress(data[4:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
@@ -65,35 +83,41 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
 
     def ask(group: pa.Table) -> pa.Table:
         _, place, grams = n_grams(group["text"].to_pylist(), order, WordHashes())
-        keys, counts, bucket = listed(place, grams, buckets)
-        cuts = np.nonzero(np.diff(bucket))[0] + 1
-        parts = [p for p in np.split(np.arange(len(keys)), cuts) if len(p)]
+        keys, counts = listed(place, grams)
+        bucket = buckets_of(keys, buckets)
+        cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(keys)]
+        parts = [slice(a, z) for a, z in zip(cuts, cuts[1:], strict=False)]
         return pa.table({
-            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-            "keys": pa.array([keys[p].view(np.int64) for p in parts], pa.list_(pa.int64())), "counts": pa.array([counts[p] for p in parts], pa.list_(pa.int32())),
+            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()), "first": pa.array([p.start for p in parts], pa.int64()),
+            "keys": pa.array([squeezed(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()), "counts": pa.array([squeezed(counts[p]) for p in parts], pa.binary()),
         })
 
     def add(group: pa.Table) -> pa.Table:
-        lists = group["keys"].combine_chunks()
-        counts = group["counts"].combine_chunks().flatten().to_numpy().astype(np.int64)
-        keys, which = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        lists = [np.cumsum(unsqueezed(x, np.uint64), dtype=np.uint64) for x in group["keys"].to_pylist()]
+        counts = np.concatenate([unsqueezed(x, np.int64) for x in group["counts"].to_pylist()])
+        keys, which = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.zeros(len(keys), np.int64)
         np.add.at(totals, which, counts)
-        sums = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))]).astype(np.int32)), pa.array(totals[which]))
-        return pa.table({"block": group["block"], "bucket": group["bucket"], "totals": sums})
-
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, keys array<long>, counts array<int>")
-    answers = asked.groupBy("bucket").applyInArrow(add, "block int, bucket int, totals array<long>")
+        at, sums, start = [], [], 0
+        for x in lists:
+            mine = totals[which[start : start + len(x)]]
+            more = np.nonzero(mine != counts[start : start + len(x)])[0]
+            at.append(squeezed(np.diff(more, prepend=0)))
+            sums.append(squeezed(mine[more]))
+            start += len(x)
+        return pa.table({"block": group["block"], "first": group["first"], "at": pa.array(at, pa.binary()), "totals": pa.array(sums, pa.binary())})
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, first long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(add, "block int, first long, at binary, totals binary")
 
     def total(group: pa.Table, answer: pa.Table) -> pa.Table:
         texts = group["text"].to_pylist()
         lengths, place, grams = n_grams(texts, order, WordHashes())
-        keys, _, _ = listed(place, grams, buckets)
-        counts = answer.sort_by("bucket")["totals"].combine_chunks().flatten().to_numpy().astype(float)
-        by_key = np.argsort(keys)
-        keys, counts = keys[by_key], counts[by_key]
+        keys, counts = listed(place, grams)
+        for first, at, totals in zip(*(answer[c].to_pylist() for c in ("first", "at", "totals")), strict=True):
+            counts[first + np.cumsum(unsqueezed(at, np.int64))] = unsqueezed(totals, np.int64)
+        words, keys, counts = counts[0], keys[1:], counts[1:].astype(float)
         number = lambda g: counts[np.searchsorted(keys, g)]
-        words = number(np.array([ALL]))[0]
         out, penalty, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
         for n in range(order, 1, -1):
             able = np.nonzero(open_ & (place >= n - 1))[0]

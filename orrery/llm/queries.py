@@ -65,6 +65,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_score")))
 
 
+def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_lm_score, whose order its SQL fixes at 2, with n-grams of up to three words."""
+    out = lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"], order=lm_score.LONG_ORDER)
+    return out.select("row.doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_score")))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicated(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat": op7_chat,
     "op8_lm_score": op8_lm_score,
+    "op8_lm_score_order3": op8_lm_score_order3,
     "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
 }

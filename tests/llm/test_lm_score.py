@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest_llm import ODD, prose
 
 from orrery.llm import lm_score
+from orrery.llm.queries import QUERIES
 
 
 @pytest.mark.parametrize(("order", "block"), [(1, 1 << 20), (2, 2000), (3, 3000)])
@@ -37,3 +39,18 @@ def test_against_brute_force(spark, make_docs, monkeypatch, order, block):
 def test_empty(spark, make_docs):
     assert lm_score.scored(make_docs([])).count() == 0
     assert [r["log_score"] for r in lm_score.scored(make_docs([None, ""])).collect()] == [0, 0]
+
+
+def test_numbers_survive_squeezing():
+    for x in (np.array([], np.uint64), np.array([1, 0, 2**64 - 1, 5], np.uint64), np.arange(3000, dtype=np.int64) ** 4):
+        assert lm_score.unsqueezed(lm_score.squeezed(x), x.dtype).tolist() == x.tolist()
+
+
+def test_query_of_three_words(spark, tmp_path):
+    """A third word changes a score only where the query goes beyond pairs."""
+    texts = ["a b c"] * 3 + ["x b d"] * 3
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op8_lm_score_order3"](spark, str(tmp_path)).collect()}
+    assert got[0] == pytest.approx(math.log(3 / 18) + math.log(3 / 3) + math.log(3 / 3), abs=1e-6)  # by pairs alone, c after b has 3 / 6
+    pairs = {r["doc_id"]: r["log_score"] for r in QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
+    assert pairs[0] == pytest.approx(math.log(3 / 18) + math.log(3 / 3) + math.log(3 / 6), abs=1e-6)
