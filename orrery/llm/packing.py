@@ -168,44 +168,58 @@ def pieces(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
 def fillings(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
     """Undominated fillings of room from the pieces in counts (length to number), as (waste, lengths), least waste first."""
     sizes = sorted(s for s, n in counts.items() if n and s <= room)
-    left, found, steps = dict.fromkeys(sizes), [], [STEPS]
-    for s in sizes:
-        left[s] = counts[s]
-
-    def extend(chosen: list[int], rest: int, top: int) -> None:
-        if steps[0] <= 0 or sum(w == 0 for w, _ in found) >= WIDTH:
-            return
-        steps[0] -= 1
-        if rest <= top and left.get(rest, 0):  # an exact fit ends it
-            found.append((0, (*chosen, rest)))
-            return
-        at, any_fits = bisect_right(sizes, min(rest, top)) - 1, False
-        while at >= 0:
-            s = sizes[at]
-            at -= 1
-            if not left[s]:
-                continue
-            any_fits = True
+    left, found, chosen, steps = {s: counts[s] for s in sizes}, [], [], STEPS
+    exact, rest = 0, room
+    # what is chosen so far, by depth: the place of the next length to try, and whether one was tried; no recursion, as a filling may have thousands of pieces
+    stack: list[list[int]] = []
+
+    def dominated() -> bool:
+        smallest = next((s for s in sizes if left[s]), None)
+        if smallest is not None and smallest <= rest:
+            return True  # a piece fits in besides
+        for c in set(chosen):
+            k = bisect_left(sizes, c + 1)
+            while k < len(sizes) and sizes[k] <= c + rest:
+                if left[sizes[k]]:
+                    return True  # a longer piece fits in c's stead
+                k += 1
+        return False
+
+    entering = True
+    while entering or stack:
+        if steps <= 0 or exact >= WIDTH:
+            break
+        if entering:
+            entering = False
+            steps -= 1
+            top = chosen[-1] if chosen else room
+            if rest <= top and left.get(rest, 0):  # an exact fit ends it
+                found.append((0, (*chosen, rest)))
+                exact += 1
+                at, tried = -1, 1
+            else:
+                at, tried = bisect_right(sizes, min(rest, top)) - 1, 0
+            stack.append([at, tried])
+        level = stack[-1]
+        while level[0] >= 0 and not left[sizes[level[0]]]:
+            level[0] -= 1
+        if level[0] >= 0:
+            s = sizes[level[0]]
+            level[0], level[1] = level[0] - 1, 1
             left[s] -= 1
             chosen.append(s)
-            extend(chosen, rest - s, s)
-            chosen.pop()
-            left[s] += 1
-            if steps[0] <= 0 or sum(w == 0 for w, _ in found) >= WIDTH:
-                return
-        if not any_fits:
-            smallest = next((s for s in sizes if left[s]), None)
-            if smallest is not None and smallest <= rest:
-                return  # a piece fits in besides
-            for c in set(chosen):
-                k = bisect_left(sizes, c + 1)
-                while k < len(sizes) and sizes[k] <= c + rest:
-                    if left[sizes[k]]:
-                        return  # a longer piece fits in c's stead
-                    k += 1
+            rest -= s
+            entering = True
+            continue
+        if not level[1] and not dominated():
             found.append((rest, tuple(chosen)))
-
-    extend([], room, room)
+            exact += rest == 0
+        stack.pop()
+        if chosen:
+            s = chosen.pop()
+            left[s] += 1
+            rest += s
+    left = {s: counts[s] for s in sizes}
     if not found:  # the steps ran out: the best fit, longest piece first
         chosen, rest = [], room
         for s in reversed(sizes):

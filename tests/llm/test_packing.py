@@ -56,6 +56,16 @@ def test_plan_of_many_meets_the_bound():
     assert packing.plan({}) == [] and packing.plan({4096: 3}) == [((4096,), 3)]
 
 
+@pytest.mark.parametrize(("sizes", "least"), [({1: 1001}, 1), ({1: 10_000}, 3), ({1: 5000, 700: 300}, 60), ({2: 3000, 3: 3000, 4: 3000}, 7)])  # at most five pieces of 700 fit
+def test_plan_of_many_short_pieces(sizes, least):
+    used = Counter()
+    plan = packing.plan(sizes)
+    for filling, m in plan:
+        assert sum(filling) <= 4096
+        used.update({s: m * n for s, n in Counter(filling).items()})
+    assert used == Counter(sizes) and sum(m for _, m in plan) == least
+
+
 def test_fillings_are_undominated():
     counts = {50: 1, 30: 2, 20: 1, 5: 1}
     found = packing.fillings(counts, 60)
