@@ -7,10 +7,12 @@ ranges together cannot make up for it are non-essential: the others' postings ar
 shard, then the non-essential ones are probed only for pairs of query and vector that can still compete.
 
 Candidates are dealt to shards and queries to blocks, both of bounded size; each pair of a shard and a block is a
-group of its own. Shards' results are merged by rank. Scores are exact integers.
+group of its own. Shards' results are merged by rank. Scores are exact integers: pairs whose sums 64-bit floats may not
+hold are scored from limbs of LIMB bits, all of them, and ranked by the whole sum.
 
-Cases: vectors that are null or empty, or hold null or non-finite components or such as quantize to 2^24 or more in size, and
-rows without an id, take no part. Where lengths differ, missing components count as 0. Equal scores: smaller id first.
+Cases: vectors that are null or empty, or hold null or non-finite components or such as quantize to no 64-bit integer
+(2^63 or more in size), and rows without an id, take no part. Scores beyond 64 bits are ranked exactly and returned as
+the largest or smallest 64-bit integer. Where lengths differ, missing components count as 0. Equal scores: smaller id first.
 Rows with the query's id are its own, and no candidates of it. Repeated rows are candidates of their own; a repeated
 query row counts once. Empty tables give no rows.
 """
@@ -28,14 +30,16 @@ from .common import ship
 SHARD, BLOCK = 8192, 1024
 #: Vectors that are traversed at once, and terms that are probed at once.
 STEP, CHUNK = 1024, 8
-#: Sizes of components below this keep sums of 64-bit floats exact (up to 32 terms of the largest, or more smaller ones).
-LARGEST = 1 << 24
+#: Candidates with components below the first and queries with sums of components' sizes below the second keep sums of 64-bit floats exact.
+LARGEST, LARGEST_SUM = 1 << 24, 1 << 27
+#: Bits of a limb, terms that are multiplied at once (so that floats hold their sum), and queries that are ranked at once.
+LIMB, TERMS, RANKED = 20, 4096, 32
 
 
 def quantized(vector: Column, scale: float) -> Column:
     """floor(scale * x) for each component; null for vectors that take no part."""
     parts = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < F.lit(float(LARGEST)), F.lit(False)))
+    fine = (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < F.lit(2.0**63), F.lit(False)))
     return F.when(vector.isNotNull() & fine, parts)
 
 
@@ -82,6 +86,49 @@ def best_of_shard(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries
     return top_q, top_c, top_s
 
 
+def limbs(x: np.ndarray) -> list[np.ndarray]:
+    """x (integers as floats) as sum of limb k times 2^(LIMB k); limbs have the sign of x."""
+    out = []
+    while x.any():
+        high = np.trunc(x / 2.0**LIMB)
+        out.append(x - high * 2.0**LIMB)
+        x = high
+    return out
+
+
+def best_of_wide(ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """As best_of_shard, for integers of any size; scores are Python's integers."""
+    top_q, top_c, top_s = [], [], []
+    have = limbs(vectors)
+    for start in range(0, len(queries), RANKED):
+        want = limbs(queries[start : start + RANKED])
+        n = len(queries[start : start + RANKED])
+        digits = [np.zeros((len(vectors), n), np.int64) for _ in range(len(have) + len(want) + 1)]
+        for i, a in enumerate(have):
+            for j, b in enumerate(want):
+                for t in range(0, a.shape[1], TERMS):
+                    digits[i + j] += (a[:, t : t + TERMS] @ b[:, t : t + TERMS].T).astype(np.int64)
+        for low, high in zip(digits, digits[1:], strict=False):  # carries: all digits but the last become 0 to 2^LIMB - 1
+            high += low >> LIMB
+            low &= (1 << LIMB) - 1
+        for q in range(n):
+            order = np.lexsort((ids, *(-d[:, q] for d in digits)))
+            order = order[ids[order] != own[start + q]][:k]
+            top_q += [start + q] * len(order)
+            top_c += order.tolist()
+            top_s += [sum(int(d[c, q]) << LIMB * m for m, d in enumerate(digits)) for c in order]
+    return np.array(top_q, np.int64), np.array(top_c, np.int64), top_s
+
+
+def beyond(score: int) -> bytes:
+    """What orders scores that are no 64-bit integers, among those cut to the same one; empty bytes for the others."""
+    if -(1 << 63) < score < (1 << 63) - 1:
+        return b""
+    size = (abs(score).bit_length() + 7) // 8
+    raw = size.to_bytes(4, "big") + abs(score).to_bytes(size, "big")
+    return raw if score > 0 else bytes(255 - b for b in raw)
+
+
 def matrix(column: pa.ChunkedArray, terms: int) -> np.ndarray:
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = np.diff(lists.offsets.to_numpy())
@@ -105,14 +152,22 @@ def searched(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0,
 
     def score(have: pa.Table, want: pa.Table) -> pa.Table:
         terms = max([0, *(int(np.diff(x["parts"].combine_chunks().offsets.to_numpy()).max(initial=0)) for x in (have, want))])
-        if not have.num_rows or not want.num_rows or not terms:
-            c = q = s = ids = own = marks = np.zeros(0, np.int64)
-        else:
+        found = []
+        if have.num_rows and want.num_rows and terms:
             have = have.sort_by("id")
+            x, y = matrix(have["parts"], terms), matrix(want["parts"], terms)
             ids, own, marks = have["id"].to_numpy(), want["id"].to_numpy(), want["query"].to_numpy()
-            q, c, s = best_of_shard(ids, matrix(have["parts"], terms), own, matrix(want["parts"], terms), k)
-        return pa.table({"query": marks[q], "query_id": own[q], "id": ids[c], "score": s.astype(np.int64)})
-
-    pairs = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(score, "query long, query_id long, id long, score long")
-    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
+            plain, small = np.abs(x).max(axis=1) < LARGEST, np.abs(y).sum(axis=1) < LARGEST_SUM
+            for search, c, q in ((best_of_shard, plain, small), (best_of_wide, ~plain, small), (best_of_wide, plain | ~plain, ~small)):
+                if c.any() and q.any():
+                    at, which, sums = search(ids[c], x[c], own[q], y[q], k)
+                    found.append((marks[q][at], own[q][at], ids[c][which], [int(v) for v in sums]))
+        none = np.zeros(0, np.int64)
+        mark, of, to = (np.concatenate([none, *(f[i] for f in found)]) for i in range(3))
+        sums = [v for f in found for v in f[3]]
+        cut = pa.array([max(-(1 << 63), min((1 << 63) - 1, v)) for v in sums], pa.int64())
+        return pa.table({"query": mark, "query_id": of, "id": to, "score": cut, "beyond": pa.array([beyond(v) for v in sums], pa.binary())})
+
+    pairs = candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(score, "query long, query_id long, id long, score long, beyond binary")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), F.desc("beyond"), "id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -33,6 +33,20 @@ def test_against_brute_force(spark, monkeypatch, n, d, step):
     assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got) == brute([r for r in rows if r[0] != 602], 20)
 
 
+def test_large_components(spark, monkeypatch):
+    """Beyond 2^24, where sums of floats are not exact, and beyond scores of 64 bits, which are cut to them but ranked whole."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    rng = np.random.default_rng(8)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(0, 0.25, (90, 16)).astype(np.float32))]
+    rows += [(100 + k, v.tolist()) for k, v in enumerate(rng.normal(0, 1e6, (61, 16)).astype(np.float32))]
+    rows += [(200 + k, v.tolist()) for k, v in enumerate(rng.normal(0, 1e16, (21, 16)).astype(np.float32))]
+    df = spark.createDataFrame([(i, v, "s") for i, v in rows], SCHEMA)
+    got = topk.searched(df, F.col("vec_id") % 20 == 0, 25).collect()
+    want = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in brute(rows, 25)]
+    assert sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in got) == want
+    assert any(s == 2**63 - 1 for *_, s in want) and any(10**15 < s < 2**63 - 1 for *_, s in want)
+
+
 def test_one_shard_in_steps(monkeypatch):
     monkeypatch.setattr(topk, "STEP", 64)
     rng = np.random.default_rng(3)
