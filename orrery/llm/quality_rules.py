@@ -1,7 +1,8 @@
 """Quality rules: counts of words, symbols and repeats, and a log-likelihood ratio of hashed n-grams.
 
-Everything is a DataFrame expression: each document's words, hashes and counts stay in its own row, so nothing
-but the table of n-gram counts (one row for each of `buckets` values, at most) is shuffled.
+Everything is a DataFrame expression: each document's words, hashes and counts stay in its own row. Shuffled are the
+table of n-gram counts (one row for each of `buckets` values, at most) and, where the trusted ids are too many for Spark
+to broadcast, the texts, once, to be joined to them.
 
 The method: words and pairs of words are hashed into `buckets` values. A multinomial of the trusted texts and one of
 all texts give each value its log-likelihood ratio; a document's score is the mean over its n-grams. A document is
@@ -20,8 +21,6 @@ from .common import words_of
 
 #: Values that n-grams are hashed to.
 BUCKETS = 1 << 16
-#: Labelled documents that make up the trusted target at most: the ones with the smallest hashes of their id.
-TRUSTED_ROWS = 20_000
 #: Mean log-likelihood ratio that a kept document has at least.
 THRESHOLD = -0.1
 #: Added to each count of the trusted multinomial; each count of the other one gets as much for its size, so that a
@@ -78,16 +77,16 @@ def log_ratios(grams: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     return row.select(F.transform("all", ratio).alias("ratios"))
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = BUCKETS, threshold: float = THRESHOLD, smoothing: float = SMOOTHING, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
+def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, buckets: int = BUCKETS, threshold: float = THRESHOLD, smoothing: float = SMOOTHING) -> DataFrame:
     """row (the document's columns as a struct), the counts, base_failed, score and kept, a row for each document.
 
-    trusted_ids: ids (column of the name id_col) of documents of the trusted target. At most trusted_rows of them, by
-    the hash of the id, are used, so that they can be broadcast.
+    trusted_ids: ids (column of the name id_col) of documents of the trusted target, however many.
     """
-    chosen = trusted_ids.select(F.col(id_col).alias("trusted_id")).dropna().distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_rows)
-    hashed = docs.select(F.col(id_col).alias("of"), F.transform(words_of(F.col(text_col)), lambda w: F.xxhash64(w)).alias("hashes"))
-    marked = hashed.join(F.broadcast(chosen), F.col("of") == F.col("trusted_id"), "left").select(F.col("trusted_id").isNotNull().alias("trusted"), "hashes")
-    grams = marked.select("trusted", F.explode(n_grams(F.col("hashes"), buckets)).alias("gram"))
+    chosen = trusted_ids.select(F.col(id_col).alias("trusted_id")).dropna().distinct()
+    # the texts, which are smaller than their hashes, as Spark may choose to shuffle them
+    marked = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("said")).join(chosen, F.col("of") == F.col("trusted_id"), "left")
+    hashed = marked.select(F.col("trusted_id").isNotNull().alias("trusted"), F.transform(words_of(F.col("said")), lambda w: F.xxhash64(w)).alias("hashes"))
+    grams = hashed.select("trusted", F.explode(n_grams(F.col("hashes"), buckets)).alias("gram"))
     ratios = log_ratios(grams, buckets, smoothing).scalar()
     counted = with_counts(docs, text_col).withColumn("grams", n_grams(F.col("hashes"), buckets)).drop("hashes")
     # grams is used twice here, so the optimizer keeps it apart and moves the ratios into the sum: no row carries a copy of them

@@ -47,6 +47,12 @@ def test_ratio_by_hand(spark, make_docs):
     assert got == pytest.approx({0: sum(map(ratio, one)) / 5, 1: sum(map(ratio, two)) / 3})
 
 
+def test_all_trusted_documents_count(spark, make_docs):
+    """With all of many documents trusted both multinomials are the same, and every score is 0."""
+    docs = make_docs([f"w{k % 977} v{k % 31}" for k in range(20_100)])
+    assert {r["score"] for r in quality_rules.judged(docs, docs.select("doc_id")).select("score").distinct().collect()} == {0.0}
+
+
 def test_junk_scores_lower(spark, make_docs):
     good, junk = [prose(k, 150) for k in range(40)], [re.sub(r"w(\d)", r"#\1 |", prose(k, 150)) for k in range(8)]
     got = quality_rules.judged(make_docs(good + junk), make_docs(good).select("doc_id")).collect()
