@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.shared import ship, written
 
-__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "ship", "shuffle_partitions", "table", "words_of", "written"]
+__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "ship", "shuffle_partitions", "slices", "table", "words_of", "written"]
 
 #: Characters between words, in every operator: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,6 +61,16 @@ def odd_numbers(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about size bytes of a column of texts; none if it has no rows."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(lengths + 16, dtype=np.int64) // size
+    cuts = [0, *(np.nonzero(np.diff(run))[0] + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def carried(df: DataFrame, keep: list[str] | None, **inputs: Column) -> DataFrame:
     """row, a struct of the columns in keep (None: all), then the named inputs: what a Python function is handed."""
     ship(df.sparkSession)

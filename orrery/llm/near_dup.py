@@ -7,11 +7,12 @@ of signature values are bucket keys.
 
 In each bucket the class with the least key is the pivot, and every member forms a pair with it (never members among
 themselves). Pairs whose signatures agree too seldom for the similarity (4.5 standard deviations below it) go; each
-class's most similar pivot is confirmed on full sets. Members of a bucket that are still in different components are
-compared by their signatures in blocks of bounded size, inside a task: those with a likely partner leave it, are
-joined to their full sets, and in a second such task the likely pairs are confirmed, the most similar first, until
-what is linked is connected. So a bucket yields no more rows than it has members, however alike they are, and no link
-between components is given up.
+class's most similar pivot is confirmed on full sets. What is still unconnected is linked in rounds. In each bucket that
+holds several components, the members outside its largest one are compared by their signatures with all of its members,
+in blocks of bounded size; each tells the ids of its WIDTH most similar likely partners in other components, no sets.
+The pairs of all buckets together, each once, are joined to their full sets and confirmed, and components are joined. A
+bucket takes part in the next round, with four times the width, if it told any pair, so no link between components is
+given up, and it never yields more than a few rows for each member.
 
 With 38 bands of 6 values a pair of similarity 0.8 shares no band with probability 1e-5, one of 0.9 with 1e-13.
 
@@ -31,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, carried, mapped, mixed, odd_numbers, written
+from .common import WordHashes, carried, mapped, mixed, odd_numbers, slices, written
 
 #: Bands, and signature values of each. Half of the bands hold least values, half largest ones.
 BANDS, ROWS = 38, 6
 #: Standard deviations below the similarity at which a pair's signatures rule it out.
 DEVIATIONS = 4.5
-#: Members of a bucket that one task compares with as many others at most.
+#: Members of a bucket that one task compares with as many others, about.
 BLOCK = 2048
+#: Likely partners that a member tells in the first round at most; each further round allows four times as many.
+WIDTH = 4
+#: Bytes of texts whose sets are held at once.
+SPAN = 1 << 21
 #: Shingles that go through a permutation at once.
 STEP = 1 << 15
 
@@ -88,48 +93,56 @@ def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarra
 
 
 def signed(docs: DataFrame, text_col: str, keep: list[str] | None, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """row, n_shingles, class (null: no words), keys (bucket keys) and sig (signature, 16 bits of each value)."""
+    """row, n_shingles, class and check (which together tell sets apart; null: no words), keys (bucket keys) and sig (signature, 16 bits of each value)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
+            for batch in slices(whole, 1, SPAN):
                 sets = shingle_sets(batch.column(1).to_pylist(), size, known)
                 full = [s for s in sets if len(s)]
                 keys, sig = signatures(full, bands, rows)
-                k, classes, key_lists, sigs = 0, [], [], []
+                k, classes, checks, key_lists, sigs = 0, [], [], [], []
                 for s in sets:
-                    classes.append(class_of(s) if len(s) else None)
+                    one, two = class_of(s) if len(s) else (None, None)
+                    classes.append(one)
+                    checks.append(two)
                     key_lists.append(keys[k].view(np.int64) if len(s) else None)
                     sigs.append(sig[k].tobytes() if len(s) else None)
                     k += bool(len(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["row", "n_shingles", "class", "keys", "sig"],
+                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), pa.array(key_lists, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["row", "n_shingles", "class", "check", "keys", "sig"],
                 )
 
-    return mapped(carried(docs, keep, text=F.col(text_col).cast("binary")), sign, "n_shingles long, class long, keys array<long>, sig binary")
+    return mapped(carried(docs, keep, text=F.col(text_col).cast("binary")), sign, "n_shingles long, class long, check long, keys array<long>, sig binary")
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """64 bits that tell one set from another: its size and two sums of its hashes."""
-    one, two = shingles.sum(dtype=np.uint64), mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    both = mixed(np.array([one], np.uint64)) ^ (np.array([two], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(len(shingles))
-    return int(mixed(both).view(np.int64)[0])
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two numbers of 64 bits that tell one set from another: each of its size and a sum of its hashes."""
+    sums = np.array([shingles.sum(dtype=np.uint64), mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+    one, two = mixed(sums + np.uint64(len(shingles))).view(np.int64).tolist()
+    return one, two
+
+
+def told_apart(df: DataFrame, shared: list[int]) -> DataFrame:
+    """df, whose classes in shared are numbers that different sets have, with a class of its own for each of their sets."""
+    return df.withColumn("class", F.when(F.col("class").isin(shared), F.xxhash64("class", "check")).otherwise(F.col("class"))) if shared else df
 
 
 def with_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
-    """class and shingles (array<long>) of every document with words."""
+    """class, check and shingles (array<long>) of every document with words."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                sets = [s for s in shingle_sets(whole.column(0).slice(start, 500).to_pylist(), size, known) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "shingles"])
+            for batch in slices(whole, 0, SPAN):
+                sets = [s for s in shingle_sets(batch.column(0).to_pylist(), size, known) if len(s)]
+                names = [class_of(s) for s in sets]
+                one, two = (pa.array([n[k] for n in names], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([one, two, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "check", "shingles"])
 
-    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(sets_of, "class long, shingles array<long>")
+    return docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(sets_of, "class long, check long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,94 +183,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def likely_links(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Members k of a group that are not of its largest component, with the members of other components they may be linked to and how alike they are."""
-    mine, low, high = group["mine"].to_numpy(), group["low"][0].as_py(), group["high"][0].as_py()
-    parts = group["component"].to_numpy()
-    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
-    names, counts = np.unique(parts, return_counts=True)
-    for k in np.nonzero(parts != names[np.argmax(counts)])[0]:
-        others = np.nonzero((parts != parts[k]) & ((mine != mine[k]) if low != high else True))[0]
-        alike = (sig[others] == sig[k]).mean(axis=1)
-        fine = alike >= least
-        if fine.any():
-            yield int(k), others[fine], alike[fine]
+def partners(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, width: int, block: int) -> DataFrame:
+    """key, a, b: for each member of a bucket outside its largest component, its `width` most similar likely partners in other components there.
 
-
-def unconnected(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """Members of buckets that may be linked to one of another component there: key, low, high, mine, class, component."""
+    Further columns: more, whether it has others.
+    """
     named = buckets.join(labels, buckets["class"] == labels["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    parts = named.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("members")).filter("first <> last")
-    parts = parts.select("key", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    members = named.join(parts, "key").join(sigs, "class").select("key", "class", "component", "sig", mine.alias("mine"), "blocks")
-    # each pair of blocks is a group: a member goes to those of its own block
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = members.select("*", other).select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "class", "component", "sig")
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    parts = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    parts = parts.select("key", "main", blocks(F.col("members")).alias("columns"), blocks(F.col("members") - F.col("most")).alias("rows"))
+    members = named.join(parts, "key").join(sigs, "class")
+    mine = lambda n: F.pmod(F.xxhash64("class", "key"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = members.select("key", each(F.col("rows")).alias("y"), mine(F.col("columns")).alias("x"), F.lit(False).alias("asks"), "class", "component", "sig")
+    asking = members.filter("component <> main").select("key", mine(F.col("rows")).alias("y"), each(F.col("columns")).alias("x"), F.lit(True).alias("asks"), "class", "component", "sig")
 
     def compare(group: pa.Table) -> pa.Table:
-        found = [np.append(others, k) for k, others, _ in likely_links(group, least)]
-        return group.take(pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *found])))).drop_columns("sig")
-
-    return members.groupBy("key", "low", "high").applyInArrow(compare, "key long, low int, high int, mine int, class long, component long")
-
-
-def links_between(members: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """a, b: links, confirmed on full sets, that connect all components that links between a group's members connect."""
-    whole = members.join(sigs, "class").join(sets, "class").select("key", "low", "high", "mine", "class", "component", "sig", "shingles")
-
-    def connect(group: pa.Table) -> pa.Table:
-        classes, parts = group["class"].to_pylist(), group["component"].to_pylist()
-        lists = group["shingles"].combine_chunks()
-        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        sets = [values[at[k] : at[k + 1]] for k in range(group.num_rows)]
-        top: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while top.get(x, x) != x:
-                top[x] = x = top.get(top[x], top[x])
-            return x
-
-        pairs = [(-s, min(k, o), max(k, o)) for k, others, alike in likely_links(group, least) for o, s in zip(others.tolist(), alike.tolist(), strict=True)]
-        out = []
-        for _, k, o in sorted(set(pairs)):  # the most alike first: what they connect needs no further confirmation
-            one, two = root(parts[k]), root(parts[o])
-            if one == two:
-                continue
-            both = len(np.intersect1d(sets[k], sets[o], assume_unique=True))
-            if 100 * both >= percent * (len(sets[k]) + len(sets[o]) - both):
-                top[max(one, two)] = min(one, two)
-                out.append((classes[k], classes[o]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-    return whole.groupBy("key", "low", "high").applyInArrow(connect, "a long, b long")
-
-
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+        asks, classes, parts = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "class", "component"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
+        there = np.nonzero(~asks)[0]
+        a, b, more = [], [], []
+        for k in np.nonzero(asks)[0]:
+            others = there[parts[there] != parts[k]]
+            alike = (sig[others] == sig[k]).mean(axis=1)
+            order = np.lexsort((classes[others], -alike))
+            order = order[: np.count_nonzero(alike >= least)]
+            for o in others[order[:width]]:
+                a.append(min(classes[k], classes[o]))
+                b.append(max(classes[k], classes[o]))
+                more.append(len(order) > width)
+        return pa.table({"key": pa.array([group["key"][0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    return asked.union(asking).groupBy("key", "y", "x").applyInArrow(compare, "key long, a long, b long, more boolean")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """row, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is the row's) of every document."""
     names = list(dict.fromkeys([*(keep or docs.columns), id_col]))
     base = written(signed(docs, text_col, names, size, bands, rows).withColumn("id", F.col(f"row.`{id_col}`")))
     least = percent / 100 - DEVIATIONS * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
-    sigs = base.filter("class is not null").groupBy("class").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.min("id").alias("id"))
-    sigs = written(sigs)
+
+    def classes(of: DataFrame) -> DataFrame:
+        first = [F.first(c).alias(c) for c in ("sig", "keys")]
+        return written(of.filter("class is not null").groupBy("class").agg(*first, F.min("id").alias("id"), F.min("check").alias("check"), F.max("check").alias("other")))
+
+    sigs = classes(base)
+    shared = [r["class"] for r in sigs.filter("check <> other").select("class").collect()]  # 64 bits that two sets share: none but by chance
+    if shared:
+        base = told_apart(base, shared)
+        sigs = classes(base)
     buckets = sigs.select("class", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("class").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-    buckets = written(buckets.join(shared, "key").select("key", "class", "pivot"))
+    pivots = buckets.groupBy("key").agg(F.min("class").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
+    buckets = written(buckets.join(pivots, "key").select("key", "class", "pivot"))
+    signs = sigs.select("class", "sig")
     pairs = buckets.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = written(likely(pairs, sigs.select("class", "sig"), least))
+    pairs = written(likely(pairs, signs, least))
 
-    def sets_for(classes: DataFrame) -> DataFrame:
-        need = classes.distinct().join(sigs.select("class", "id"), "class").select(F.col("id").alias("needed")).distinct()
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("needed")), "left_semi")
-        return written(with_sets(texts, "text", size).groupBy("class").agg(F.first("shingles").alias("shingles")))
+    # the sets of all classes that may be compared, once
+    need = buckets.select("class").distinct().join(sigs.select("class", "id"), "class").select(F.col("id").alias("needed")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(need, F.col("id").eqNullSafe(F.col("needed")), "left_semi")
+    sets = told_apart(with_sets(texts, "text", size), shared).groupBy("class").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets.join(buckets.select("class").distinct(), "class", "left_semi"))
 
     best = Window.partitionBy("b").orderBy(F.desc("alike"), "a")
-    first = written(pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b"))
-    links = written(confirmed(first, sets_for(first.select(F.explode(F.array("a", "b")).alias("class"))), percent))
-    labels = components(links)
-    members = written(unconnected(buckets, labels, sigs.select("class", "sig"), least))
-    links = links.union(written(links_between(members, sigs.select("class", "sig"), sets_for(members.select("class")), least, percent)))
-    labels = components(links)
+    judged = written(pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b"))
+    links = written(confirmed(judged, sets, percent))
+    labels, width = components(links), WIDTH
+    while True:
+        told = written(partners(buckets, labels, signs, least, width, block))
+        new = written(told.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            if told.filter("more").isEmpty():
+                break
+        else:
+            judged = judged.union(new)
+            links = links.union(written(confirmed(new, sets, percent)))
+            labels = components(links)
+        buckets, width = buckets.join(told.select("key").distinct(), "key", "left_semi"), 4 * width
 
     ids = sigs.select("class", "id").join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     first = ids.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -54,12 +54,11 @@ def texts():
 
 
 @pytest.mark.parametrize(("size", "block"), [(2, 2048), (5, 2048), (2, 4)])
-def test_against_brute_force(spark, make_docs, monkeypatch, size, block):
-    monkeypatch.setattr(near_dup.unconnected, "__defaults__", (block,))
+def test_against_brute_force(spark, make_docs, size, block):
     all_texts = texts()
     ids = list(range(len(all_texts)))
     random.Random(5).shuffle(ids)
-    got = near_dup.linked(make_docs(all_texts, ids), size=size).collect()
+    got = near_dup.linked(make_docs(all_texts, ids), size=size, block=block).collect()
     found = sorted((r["row"]["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
     assert found == sorted(brute(all_texts, ids, size))
 
@@ -78,6 +77,32 @@ def test_empty(spark, make_docs):
     assert [r["kept"] for r in near_dup.linked(make_docs([None, ""])).collect()] == [True, True]
 
 
+def test_a_bucket_of_many_members(spark):
+    rng, n, values = np.random.default_rng(3), 20_000, 228
+    sig = rng.integers(0, 1 << 16, (n, values)).astype(np.uint16)
+    minor = list(range(n - 12, n))
+    for k, c in enumerate(minor):  # each is like two members: one of the large component, one of its own kind
+        sig[c] = sig[17 * k]
+        sig[c, : 10 + k] = 1
+    sigs = spark.createDataFrame([(c, sig[c].tobytes()) for c in range(n)], "class long, sig binary")
+    labels = spark.range(n - 12).selectExpr("id AS node", "0L AS component")
+    buckets = spark.range(n).selectExpr("id AS class", "7L AS key")
+    got = near_dup.partners(buckets, labels, sigs, 0.68, 4, 2048).select("a", "b").distinct().collect()
+    like = {(min(a, b), max(a, b)) for b in minor for a in range(n) if a != b and (sig[a] == sig[b]).mean() >= 0.68}
+    assert {(r["a"], r["b"]) for r in got} == like and len(like) >= 12
+
+
+def test_long_texts(spark, make_docs):
+    long = prose(3, 60_000, 10**6)
+    got = near_dup.linked(make_docs([long, edited(long, 1, 0.01), edited(long, 2, 0.3), prose(4, 60_000, 10**6)])).collect()
+    assert {r["row"]["doc_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_sets_that_share_a_class_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "class long, check long")
+    assert [len({r["class"] for r in near_dup.told_apart(df, x).collect()}) for x in ([], [1])] == [2, 3]
+
+
 def test_components_of_a_path(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
