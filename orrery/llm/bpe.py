@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, mapped
+from .common import carried, mapped, slices
 
 #: White space of Unicode, and the pieces of byte-level vocabularies of this kind.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,6 +34,8 @@ KEPT_PIECES = 250_000
 SHORT = 64
 #: Characters of text that are cut into pieces at once, about.
 SPAN = 1 << 20
+#: Bytes of texts, and rows of ids, that are worked on at once.
+BATCH, DECODED = 1 << 22, 1024
 NONE = np.int64(1) << np.int64(62)
 
 
@@ -251,7 +253,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(file.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, BATCH)):
             ids = list(known.encode_batch(batch.column(1).to_pylist()))
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             if packed:
@@ -270,7 +272,7 @@ def decoded(df: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | No
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(file.value)
-        for batch in batches:
+        for batch in (whole.slice(k, DECODED) for whole in batches for k in range(0, whole.num_rows, DECODED)):
             ids = batch.column(1)
             raw = ids.to_pylist() if pa.types.is_binary(ids.type) else [x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"" for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([known.decode(x or b"") for x in raw], pa.string())], names=["row", "text"])
