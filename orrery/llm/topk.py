@@ -10,26 +10,28 @@ Candidates are dealt to shards and queries to blocks, both of bounded size; each
 group of its own. Shards' results are merged by rank. Scores are exact integers: pairs whose sums 64-bit floats may not
 hold are scored from limbs of LIMB bits, all of them, and ranked by the whole sum.
 
-Cases: vectors that are null or empty, or hold null or non-finite components or such as quantize to no 64-bit integer
-(2^63 or more in size), and rows without an id, take no part. Scores beyond 64 bits are ranked exactly and returned as
-the largest or smallest 64-bit integer. Where lengths differ, missing components count as 0. Equal scores: smaller id first.
-Rows with the query's id are its own, and no candidates of it. Repeated rows are candidates of their own; a repeated
-query row counts once. Empty tables give no rows.
+Cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part. An empty
+vector scores 0 with all. Components may be of any finite size (those that times the scale exceed 64-bit floats, 2.8e306
+here, count as non-finite). Scores beyond 64 bits are ranked exactly and returned as the largest or smallest 64-bit
+integer. Where lengths differ, missing components count as 0. Equal scores: smaller id first. Rows with the query's id
+are its own, and no candidates of it. Repeated rows are candidates of their own; a repeated query row counts once. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
 
 #: Vectors of a shard and queries of a block, about.
-SHARD, BLOCK = 8192, 1024
+SHARD, BLOCK = 8192, 4096
 #: Vectors that are traversed at once, and terms that are probed at once.
-STEP, CHUNK = 1024, 8
+STEP, CHUNK = 512, 8
 #: Candidates with components below the first and queries with sums of components' sizes below the second keep sums of 64-bit floats exact.
 LARGEST, LARGEST_SUM = 1 << 24, 1 << 27
 #: Bits of a limb, terms that are multiplied at once (so that floats hold their sum), and queries that are ranked at once.
@@ -37,9 +39,10 @@ LIMB, TERMS, RANKED = 20, 4096, 32
 
 
 def quantized(vector: Column, scale: float) -> Column:
-    """floor(scale * x) for each component; null for vectors that take no part."""
-    parts = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    fine = (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double") * scale) < F.lit(2.0**63), F.lit(False)))
+    """floor(scale * x) for each component, as a 64-bit float, which holds it exactly; null for vectors that take no part."""
+    scaled = F.transform(vector, lambda x: F.lit(float(scale)) * x.cast("double"))
+    parts = F.transform(scaled, lambda y: F.when(F.abs(y) < F.lit(2.0**52), F.floor(y).cast("double")).otherwise(y))  # larger ones are integers already
+    fine = F.forall(scaled, lambda y: F.coalesce(F.abs(y) < F.lit(float("inf")), F.lit(False)))
     return F.when(vector.isNotNull() & fine, parts)
 
 
@@ -129,11 +132,14 @@ def beyond(score: int) -> bytes:
     return raw if score > 0 else bytes(255 - b for b in raw)
 
 
+def lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+
+
 def matrix(column: pa.ChunkedArray, terms: int) -> np.ndarray:
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = np.diff(lists.offsets.to_numpy())
-    out = np.zeros((len(n), terms))
-    out[np.arange(terms) < n[:, None]] = lists.flatten().to_numpy()
+    """A row for each list, filled up with zeros; a null list is all zeros."""
+    out = np.zeros((len(column), terms))
+    out[np.arange(terms) < lengths(column)[:, None]] = column.combine_chunks().flatten().to_numpy()
     return out
 
 
@@ -141,21 +147,23 @@ def searched(vectors: DataFrame, is_query: Column, k: int, scale: float = 64.0,
     """query_id, rank, id and score: the k best rows for each row that is_query holds for, against all other rows."""
     ship(vectors.sparkSession)
     all_rows = vectors.withColumn("is_query", is_query).select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("parts"), F.coalesce("is_query", F.lit(False)).alias("is_query"))
-    all_rows = all_rows.filter("id is not null and parts is not null")
+    # what is shuffled: 32-bit floats where they hold all components exactly
+    small = F.when(F.forall("parts", lambda y: F.abs(y) < LARGEST), F.col("parts").cast("array<float>"))
+    all_rows = all_rows.filter("id is not null and parts is not null").select("id", "is_query", small.alias("small"), F.when(small.isNull(), F.col("parts")).alias("large"))
     n = all_rows.agg(F.count("*").alias("rows"), F.count_if("is_query").alias("queries")).first()
     shards, blocks = -(-n["rows"] // SHARD) or 1, -(-n["queries"] // BLOCK) or 1
-    place = F.xxhash64(F.monotonically_increasing_id())  # rows of one id or vector spread as well
-    candidates = all_rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), "id", "parts")
-    candidates = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "parts")
-    queries = all_rows.filter("is_query").select("id", "parts").distinct().select(F.xxhash64("id", "parts").alias("query"), "id", "parts")
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("query", F.lit(blocks)).cast("int").alias("block"), "query", "id", "parts")
+    place = F.xxhash64(F.spark_partition_id(), "id", "small", "large")  # rows of one id or vector spread by partitions
+    candidates = all_rows.select(F.pmod(place, F.lit(shards)).cast("int").alias("shard"), "id", "small", "large")
+    candidates = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "small", "large")
+    queries = all_rows.filter("is_query").select("id", "small", "large").distinct().select(F.xxhash64("id", "small", "large").alias("query"), "id", "small", "large")
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("query", F.lit(blocks)).cast("int").alias("block"), "query", "id", "small", "large")
 
     def score(have: pa.Table, want: pa.Table) -> pa.Table:
-        terms = max([0, *(int(np.diff(x["parts"].combine_chunks().offsets.to_numpy()).max(initial=0)) for x in (have, want))])
+        terms = max(1, *(lengths(x[c]).max(initial=0) for x in (have, want) for c in ("small", "large")))
         found = []
-        if have.num_rows and want.num_rows and terms:
+        if have.num_rows and want.num_rows:
             have = have.sort_by("id")
-            x, y = matrix(have["parts"], terms), matrix(want["parts"], terms)
+            x, y = (matrix(t["small"], terms) + matrix(t["large"], terms) for t in (have, want))
             ids, own, marks = have["id"].to_numpy(), want["id"].to_numpy(), want["query"].to_numpy()
             plain, small = np.abs(x).max(axis=1) < LARGEST, np.abs(y).sum(axis=1) < LARGEST_SUM
             for search, c, q in ((best_of_shard, plain, small), (best_of_wide, ~plain, small), (best_of_wide, plain | ~plain, ~small)):
