@@ -3,12 +3,14 @@
 S(w | h) = count(h w) / count(h) if count(h w) >= least, else `backoff` * S(w | h without its first word); at last
 count(w) / words. A document's score is the sum of log S over its words; words at its beginning have shorter h.
 
-Documents are dealt to blocks of bounded size. A block lists its distinct n-grams (64-bit hashes) with their numbers,
-dealt to buckets by ranges of the hash; a bucket adds up each n-gram's numbers, which makes its share of the count
-table, and answers each list with the sums that differ from the block's own numbers, so n-grams of one block alone get
-no answer; each block then looks its n-grams up and sums the logarithms per document. The most frequent n-gram is one
-entry in each block's list. What is shuffled is the texts once (both steps on blocks use one exchange) and each block's
-distinct n-grams, as compressed differences of ascending hashes.
+Documents are dealt to blocks of bounded size, by what they hold and the partition they are read in, so a task that is
+run again deals alike. A block's n-grams (64-bit hashes), each once with its number, are exploded to buckets by ranges
+of the hash. A bucket's table of counts is the sum over blocks by n-gram; joined back on the n-gram it gives each block
+the sums that differ from the block's own numbers, so n-grams of one block alone get no answer. Each block then sums
+the logarithms of its n-grams' counts per document. The most frequent n-gram is one entry in each block's list. What is
+shuffled is the texts once (both steps on blocks use one exchange) and each block's distinct n-grams, as compressed
+differences of ascending hashes. An answer names its n-grams by their places in the block's ascending list, with the
+list's checksum: a block whose list is another one is an error.
 
 Cases: null and empty texts have no words, the score 0 and no mean. Texts of one word have only the unigram's score.
 Repeated rows count and are scored as often as they occur. Null ids and further columns of any name pass through in
@@ -17,6 +19,8 @@ row; no rows give no rows.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +30,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from .common import WordHashes, carried, mixed, odd_numbers, shuffle_partitions
 
 #: Words of the longest n-gram, the factor of each backoff, and the number from which an n-gram of two or more words counts.
-ORDER, BACKOFF, LEAST = 2, 0.4, 2
-#: The order of the query that does the production job; ORDER is that of the query whose rows SQL gives.
-LONG_ORDER = 3
+ORDER, BACKOFF, LEAST = 3, 0.4, 2
 #: Bytes of text in a block, about.
 BLOCK = 12 << 20
 #: Stands for all words; its number is the corpus's.
@@ -51,10 +53,21 @@ def n_grams(texts: list[bytes | None], order: int, known: WordHashes) -> tuple[n
     return lengths, place, out
 
 
-def listed(place: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct n-grams, ALL and then ascending, and their numbers."""
-    keys, counts = np.unique(np.concatenate([g[place >= n] for n, g in enumerate(grams)]), return_counts=True)
-    return np.concatenate([[ALL], keys]), np.concatenate([[len(place)], counts])
+def listed(place: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A block's distinct n-grams, ALL and then ascending; their numbers; and for each n the place in that list of the n-gram ending at each word."""
+    whole = [np.nonzero(place >= n)[0] for n in range(len(grams))]
+    keys, which, counts = np.unique(np.concatenate([g[w] for g, w in zip(grams, whole, strict=True)]), return_inverse=True, return_counts=True)
+    places, start = [], 0
+    for w in whole:
+        at = np.zeros(len(place), np.int32)
+        at[w] = which[start : start + len(w)] + 1
+        places.append(at)
+        start += len(w)
+    return np.concatenate([[ALL], keys]), np.concatenate([[len(place)], counts]), places
+
+
+def checksum(keys: np.ndarray) -> int:
+    return int(mixed(keys).sum(dtype=np.uint64).view(np.int64))
 
 
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -78,17 +91,20 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     """row, n_words, log_score (sum of natural logarithms) and mean_score (a word's) of every document."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(size // BLOCK + 1)).cast("int")
-    blocks = carried(docs, keep, text=F.col(text_col).cast("binary")).withColumn("block", block)
+    row = carried(docs, keep, text=F.col(text_col).cast("binary"))
+    # a partition's rows are the same whenever it is read, though not their order; rows repeated as a whole spread by partitions
+    able = [F.col("row")[f.name] for f in row.schema["row"].dataType.fields if not {"map<", "variant"} & set(re.findall(r"map<|variant", f.dataType.simpleString()))]  # Spark has no hash of the others
+    block = F.pmod(F.xxhash64(F.spark_partition_id(), "text", *able), F.lit(size // BLOCK + 1)).cast("int")
+    blocks = row.withColumn("block", block)
 
     def ask(group: pa.Table) -> pa.Table:
         _, place, grams = n_grams(group["text"].to_pylist(), order, WordHashes())
-        keys, counts = listed(place, grams)
+        keys, counts, _ = listed(place, grams)
         bucket = buckets_of(keys, buckets)
         cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(keys)]
         parts = [slice(a, z) for a, z in zip(cuts, cuts[1:], strict=False)]
         return pa.table({
-            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()), "first": pa.array([p.start for p in parts], pa.int64()),
+            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()), "first": pa.array([p.start for p in parts], pa.int64()), "check": pa.array([checksum(keys)] * len(parts), pa.int64()),
             "keys": pa.array([squeezed(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()), "counts": pa.array([squeezed(counts[p]) for p in parts], pa.binary()),
         })
 
@@ -105,30 +121,32 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             at.append(squeezed(np.diff(more, prepend=0)))
             sums.append(squeezed(mine[more]))
             start += len(x)
-        return pa.table({"block": group["block"], "first": group["first"], "at": pa.array(at, pa.binary()), "totals": pa.array(sums, pa.binary())})
+        return pa.table({"block": group["block"], "first": group["first"], "check": group["check"], "at": pa.array(at, pa.binary()), "totals": pa.array(sums, pa.binary())})
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, first long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(add, "block int, first long, at binary, totals binary")
+    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, first long, check long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(add, "block int, first long, check long, at binary, totals binary")
 
     def total(group: pa.Table, answer: pa.Table) -> pa.Table:
         texts = group["text"].to_pylist()
         lengths, place, grams = n_grams(texts, order, WordHashes())
-        keys, counts = listed(place, grams)
+        keys, counts, at_list = listed(place, grams)
+        del grams
+        if any(c != checksum(keys) for c in set(answer["check"].to_pylist())):
+            raise RuntimeError("a block's documents changed between two reads of the input")
         for first, at, totals in zip(*(answer[c].to_pylist() for c in ("first", "at", "totals")), strict=True):
             counts[first + np.cumsum(unsqueezed(at, np.int64))] = unsqueezed(totals, np.int64)
-        words, keys, counts = counts[0], keys[1:], counts[1:].astype(float)
-        number = lambda g: counts[np.searchsorted(keys, g)]
+        logs = np.log(counts)
         out, penalty, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
         for n in range(order, 1, -1):
             able = np.nonzero(open_ & (place >= n - 1))[0]
-            whole = number(grams[n - 1][able])
-            enough = whole >= least
+            whole = at_list[n - 1][able]
+            enough = counts[whole] >= least
             at = able[enough]
-            out[at] = np.log(whole[enough] / number(grams[n - 2][at - 1])) + penalty[at]
+            out[at] = logs[whole[enough]] - logs[at_list[n - 2][at - 1]] + penalty[at]
             open_[at] = False
             penalty[able[~enough]] += np.log(backoff)
         at = np.nonzero(open_)[0]
-        out[at] = np.log(number(grams[0][at]) / words) + penalty[at]
+        out[at] = logs[at_list[0][at]] - logs[0] + penalty[at]
         sums = np.zeros(len(texts))
         np.add.at(sums, np.repeat(np.arange(len(texts)), lengths), out)
         means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)

@@ -65,9 +65,9 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_score")))
 
 
-def op8_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As op8_lm_score, whose order its SQL fixes at 2, with n-grams of up to three words."""
-    out = lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"], order=lm_score.LONG_ORDER)
+def lm_score_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_lm_score, with n-grams of one and two words only."""
+    out = lm_score.scored(table(spark, sf_dir, "documents"), keep=["doc_id"], order=2)
     return out.select("row.doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_score")))
 
 
@@ -91,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat": op7_chat,
     "op8_lm_score": op8_lm_score,
-    "op8_lm_score_order3": op8_lm_score_order3,
+    "lm_score_order2": lm_score_order2,
     "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -130,6 +130,18 @@ SQL: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, s.doc_id = coalesce(m.component, s.doc_id) AS kept
         FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN m ON c.id = m.id""",
     "op8_lm_score": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS k FROM d),
+        g AS (SELECT doc_id, k, c, lag(c) OVER (PARTITION BY doc_id ORDER BY k) AS b, lag(c, 2) OVER (PARTITION BY doc_id ORDER BY k) AS a FROM t),
+        one AS (SELECT c, count(*) AS n FROM g GROUP BY c), two AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+        three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+        x AS (SELECT g.doc_id, CASE WHEN three.n >= 2 THEN ln(three.n::DOUBLE / h2.n) ELSE CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END +
+                     CASE WHEN two.n >= 2 THEN ln(two.n::DOUBLE / h1.n) ELSE CASE WHEN g.b IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END + ln(one.n::DOUBLE / (SELECT count(*) FROM t)) END END AS score
+              FROM g JOIN one USING (c) LEFT JOIN two ON two.b = g.b AND two.c = g.c LEFT JOIN one h1 ON h1.c = g.b
+              LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c LEFT JOIN two h2 ON h2.b = g.a AND h2.c = g.b)
+        SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(x.score), 0), 6) AS log_score, round(sum(x.score) / len(any_value(d.w)), 6) AS mean_score
+        FROM d LEFT JOIN x USING (doc_id) GROUP BY d.doc_id""",
+    "lm_score_order2": f"""
         WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
         t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
         g AS (SELECT doc_id, k, word, lag(word) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM t),

@@ -50,7 +50,20 @@ def test_query_of_three_words(spark, tmp_path):
     """A third word changes a score only where the query goes beyond pairs."""
     texts = ["a b c"] * 3 + ["x b d"] * 3
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op8_lm_score_order3"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
     assert got[0] == pytest.approx(math.log(3 / 18) + math.log(3 / 3) + math.log(3 / 3), abs=1e-6)  # by pairs alone, c after b has 3 / 6
-    pairs = {r["doc_id"]: r["log_score"] for r in QUERIES["op8_lm_score"](spark, str(tmp_path)).collect()}
+    pairs = {r["doc_id"]: r["log_score"] for r in QUERIES["lm_score_order2"](spark, str(tmp_path)).collect()}
     assert pairs[0] == pytest.approx(math.log(3 / 18) + math.log(3 / 3) + math.log(3 / 6), abs=1e-6)
+
+
+def test_null_ids_and_repeated_rows(spark, make_docs):
+    """Rows repeated as a whole count, and are scored, as often as they occur; a null id is an id like others."""
+    got = lm_score.scored(make_docs(["a b", "a b", "a b", "c"], [1, 1, None, None])).collect()
+    found = sorted(((r["row"]["doc_id"], r["n_words"], round(r["log_score"], 9)) for r in got), key=str)
+    pair, one = round(math.log(3 / 7) + math.log(3 / 3), 9), round(math.log(1 / 7), 9)
+    assert found == sorted([(1, 2, pair), (1, 2, pair), (None, 2, pair), (None, 1, one)], key=str)
+
+
+def test_columns_without_a_hash(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b a b' AS text, map('k', 1) AS row")
+    assert lm_score.scored(docs).first()["n_words"] == 4
