@@ -8,7 +8,7 @@ SAMPLE and RANK. Every document, whole, is folded into the space, and its cosine
 products of blocks; the labels of the NEIGHBOURS nearest vote with the weight of their similarity.
 
 Cases: a null or empty text has no terms, a zero vector, and the share of label 1 in the sample as its score. Ties
-among neighbours: smaller position in the sample. Without labelled rows, or with those of one label, the score is
+among neighbours (cosines equal to 9 digits): smaller position in the sample, which is in the order of the ids' hashes. Without labelled rows, or with those of one label, the score is
 that label's (0.5 without any). Repeated rows, null ids and further columns of any name pass through in row; no rows
 give no rows.
 """
@@ -17,18 +17,17 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, mapped
+from .common import carried, mapped, written
 
 #: Labelled documents that are fitted at most: those with the smallest hashes of their id.
 SAMPLE = 2000
-#: Characters of those documents in all at most; the ones beyond are left out. Keeps the driver's share bounded.
+#: Bytes of those documents in all at most, going by the hashes; one that does not fit in is left out. Keeps the driver's share bounded.
 SAMPLE_CHARS = 20_000_000
 #: Dimensions of the latent space, and neighbours that vote.
 RANK, NEIGHBOURS = 96, 15
@@ -39,6 +38,8 @@ TERMS = PAIRS + STEPS * SHAPES
 SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: Weight of a shape term against a document's pairs of bytes, which together weigh 1.
 SHAPE_WEIGHT = 0.2
+#: Digits of a cosine that count.
+DIGITS = 9
 #: Score that a document of good quality has at least.
 LEAST = 0.3
 #: Documents whose products are computed at once, and terms of the sample that are held at once while it is fitted.
@@ -126,7 +127,7 @@ def fitted(texts: list[bytes | None], labels: list[int], rank: int) -> dict:
     del products
     sizes = np.sqrt(squares)
     projection = np.concatenate([np.zeros((0, len(sizes))), *(part.T @ left / sizes for part in by_terms())])
-    return {"place": place, "weights": weights, "projection": projection, "vectors": unit(left * sizes), "labels": np.array(labels, dtype=float)}
+    return {"place": place, "weights": weights, "projection": projection.astype(np.float32), "vectors": unit(left * sizes), "labels": np.array(labels, dtype=float)}
 
 
 def scores(model: dict, texts: list[bytes | None], neighbours: int) -> np.ndarray:
@@ -138,33 +139,33 @@ def scores(model: dict, texts: list[bytes | None], neighbours: int) -> np.ndarra
         at, c = at[at >= 0], c[at >= 0]
         known[k] = (c * model["weights"][at]) @ model["projection"][at]
     has = np.linalg.norm(known, axis=1) > 1e-12
-    near = unit(known) @ model["vectors"].T
-    k = min(neighbours, len(labels))
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(near, best, axis=1), 1e-9) ** 4
-    votes = (weight * labels[best]).sum(axis=1) / weight.sum(axis=1)
-    return np.where(has, votes, labels.mean())
+    near = np.round(unit(known) @ model["vectors"].T, DIGITS)
+    weight = np.where(nearest(near, neighbours), np.maximum(near, 1e-9) ** 4, 0.0)
+    return np.where(has, np.clip(weight @ labels / weight.sum(axis=1), 0, 1), labels.mean())
 
 
-@lru_cache(maxsize=1)
-def opened(data: bytes) -> dict:
-    return pickle.loads(data)
+def nearest(near: np.ndarray, k: int) -> np.ndarray:
+    """Which values are among the k largest of their row; of equal ones the first."""
+    if k >= near.shape[1]:
+        return np.ones(near.shape, bool)
+    last = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+    more, same = near > last, near == last
+    return more | same & (np.cumsum(same, axis=1) <= k - more.sum(axis=1, keepdims=True))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: Column, id_col: str, text_col: str, sample: int) -> tuple[list, list]:
     """Texts and labels of the sample, in the order of their ids' hashes."""
     chosen = labels.select(F.col(id_col).alias("of"), label.cast("int").alias("label")).dropna().orderBy(F.xxhash64("of"), "of", "label").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter("text is not null").join(F.broadcast(chosen), F.col("id") == F.col("of"))
-    size = texts.select("id", "label", F.length("text").alias("n")).collect()  # as many rows as the sample has, but for repeated ids
-    ids, total = set(), 0
-    for r in sorted(size, key=lambda r: (r["n"], r["id"])):
-        total += r["n"]
-        if total > SAMPLE_CHARS or len(ids) >= sample:
-            break
-        ids.add(r["id"])
-    rows = texts.filter(F.col("id").isin(sorted(ids))).select(F.xxhash64("id").alias("h"), "id", "label", "text").collect() if ids else []
-    rows.sort(key=lambda r: (r["h"], r["id"], r["label"], r["text"]))
-    rows = rows[:sample]
+    # one text of each id, whatever number of rows has it
+    texts = written(texts.groupBy("id", "label").agg(F.min("text").alias("text")).select(F.xxhash64("id").alias("h"), "id", "label", F.length("text").alias("n"), "text"))
+    fit, total = [], 0
+    for r in sorted(texts.select("h", "id", "label", "n").collect(), key=lambda r: (r["h"], r["id"], r["label"])):  # `sample` rows at most
+        if total + r["n"] <= SAMPLE_CHARS:
+            fit.append(r["id"])
+            total += r["n"]
+    rows = texts.filter(F.col("id").isin(fit)).collect() if fit else []
+    rows.sort(key=lambda r: (r["h"], r["id"], r["label"]))
     return [bytes(r["text"]) for r in rows], [r["label"] for r in rows]
 
 
@@ -179,11 +180,12 @@ def scored(docs: DataFrame, labelled: DataFrame, labels: DataFrame, label_col: s
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fitted(texts, values, rank)) if constant is None else b"")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = pickle.loads(model.value) if constant is None else {}  # for this task only: idle workers hold none
         for batch in batches:
             out = []
             for start in range(0, batch.num_rows, BLOCK):
                 part = batch.column(1).slice(start, BLOCK).to_pylist()
-                out.append(scores(opened(model.value), part, neighbours) if constant is None else np.full(len(part), constant))
+                out.append(scores(opened, part, neighbours) if constant is None else np.full(len(part), constant))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *out]))], names=["row", "score"])
 
     return mapped(carried(docs, keep, text=F.col(text_col).cast("binary")), score, "score double")
