@@ -1,8 +1,8 @@
 """Quality rules: counts of words, symbols and repeats, and a log-likelihood ratio of hashed n-grams.
 
 Everything is a DataFrame expression: each document's words, hashes and counts stay in its own row. Shuffled are the
-table of n-gram counts (one row for each of `buckets` values, at most) and, where the trusted ids are too many for Spark
-to broadcast, the texts, once, to be joined to them.
+table of n-gram counts (one row for each of `buckets` values, at most) and, where there are more than BROADCAST_IDS
+trusted ids, the texts, once, to be joined to them; up to that number, which is counted first, the ids are broadcast.
 
 The method: words and pairs of words are hashed into `buckets` values. A multinomial of the trusted texts and one of
 all texts give each value its log-likelihood ratio; a document's score is the mean over its n-grams. A document is
@@ -26,6 +26,8 @@ THRESHOLD = -0.1
 #: Added to each count of the trusted multinomial; each count of the other one gets as much for its size, so that a
 #: value seen once or twice says little in a corpus of any size.
 SMOOTHING = 8.0
+#: Trusted ids that are broadcast at most, if they are numbers (8 bytes each); others and more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def windows_of(hashes: Column) -> Column:
@@ -83,6 +85,8 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text
     trusted_ids: ids (column of the name id_col) of documents of the trusted target, however many.
     """
     chosen = trusted_ids.select(F.col(id_col).alias("trusted_id")).dropna().distinct()
+    if dict(chosen.dtypes)["trusted_id"] in ("tinyint", "smallint", "int", "bigint") and chosen.count() <= BROADCAST_IDS:
+        chosen = F.broadcast(chosen)
     # the texts, which are smaller than their hashes, as Spark may choose to shuffle them
     marked = docs.select(F.col(id_col).alias("of"), F.col(text_col).alias("said")).join(chosen, F.col("of") == F.col("trusted_id"), "left")
     hashed = marked.select(F.col("trusted_id").isNotNull().alias("trusted"), F.transform(words_of(F.col("said")), lambda w: F.xxhash64(w)).alias("hashes"))
