@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_llm import ODD, prose
+from pyspark.sql import functions as F
 
 from orrery.llm import queries, quality_classifier, quality_rules
 
@@ -82,6 +83,72 @@ def test_classifier_cases(spark, make_docs):
     assert kept.columns == docs.columns
 
 
+def brute_scores(texts, sample, labels, rank=quality_classifier.RANK, k=quality_classifier.NEIGHBOURS):
+    """Scores from a singular value decomposition of the sample's whole term matrix and a sort of all cosines."""
+
+    def vector(text):
+        out = np.zeros(quality_classifier.TERMS)
+        at, values = quality_classifier.terms((text or "").encode())
+        out[at] = values
+        return out
+
+    x = np.array([vector(t) for t in sample])
+    used = (x > 0).any(axis=0)
+    weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    _, s, v = np.linalg.svd(unit(x * weight)[:, used], full_matrices=False)
+    v = v[: min(rank, (s**2 > 1e-10).sum())]
+    known = unit(x * weight)[:, used] @ v.T
+    out = []
+    for t in texts:
+        own = (vector(t) * weight)[used] @ v.T
+        if np.linalg.norm(own) <= 1e-12:
+            out.append(float(np.mean(labels)))
+            continue
+        near = np.round(unit(known) @ (own / np.linalg.norm(own)), 9)
+        best = sorted(range(len(sample)), key=lambda j: (-near[j], j))[:k]
+        votes = [max(near[j], 1e-9) ** 4 for j in best]
+        out.append(sum(w * labels[j] for w, j in zip(votes, best, strict=True)) / sum(votes))
+    return out
+
+
+def test_classifier_against_brute_force(spark, make_docs):
+    texts = [*ODD, *(prose(k, 30 + k) for k in range(25)), *(re.sub(r"w(\d)", r"#\1 |", prose(k, 40 + k)) for k in range(15)), *[prose(5, 35)] * 8]
+    ids = list(range(len(texts)))
+    docs = make_docs(texts, ids)
+    labels = {i: (i * 7) % 3 % 2 for i in ids if i % 2 or i > 45}  # equal texts with labels of both kinds
+    order = [r["doc_id"] for r in docs.filter("text is not null").orderBy(F.xxhash64("doc_id")).collect() if r["doc_id"] in labels]
+    got = quality_classifier.scored(docs, docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    want = brute_scores(texts, [texts[i] for i in order], [labels[i] for i in order])
+    assert [r["row"]["doc_id"] for r in got] == ids and [r["score"] for r in got] == pytest.approx(want, abs=1e-5)
+
+
+def test_classifier_null_and_repeated_ids(spark, make_docs):
+    """A row is scored for its text alone; one text of an id that many rows have is fitted."""
+    docs = make_docs([prose(1, 60), "# | # |", prose(1, 60), prose(2, 60), *["long " * 50] * 40], [None, 1, None, 2, *[3] * 40])
+    got = quality_classifier.scored(docs, docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int"), neighbours=1).collect()
+    assert [r["score"] for r in got] == [1, 0, 1, 1] + [1] * 40
+    texts, labels = quality_classifier.sampled(docs, spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int"), F.col("quality"), "doc_id", "text", 2000)
+    assert len(texts) == 3 and sorted(labels) == [0, 1, 1]
+
+
+def test_nearest_of_equal_ones_are_the_first():
+    near = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [1, 1, 1, 1, 1], [0, 0, 0, 0, 2]])
+    assert quality_classifier.nearest(near, 3).tolist() == [[True, True, True, False, False], [True, True, True, False, False], [True, True, False, False, True]]
+    assert quality_classifier.nearest(near, 9).all()
+
+
+def test_rules_null_and_repeated_ids(spark, make_docs):
+    """Each row is judged by its own text; all rows of a trusted id are trusted, a null id is not."""
+    docs = make_docs(["a b", "a b", "a b", "c d"], [None, 1, 1, 2])
+    ids = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    got = quality_rules.judged(docs, ids, smoothing=1.0).collect()
+    raw, good = {"a": 3, "c": 1}, {"a": 2, "c": 0}
+    want = [float(np.log((good[g] + 1) / (raw[g] * 6 / 12 + 1))) for g in "aaac"]  # both words and the pair of a text occur alike
+    assert [r["score"] for r in got] == pytest.approx(want) and [r["row"]["doc_id"] for r in got] == [None, 1, 1, 2]
+    assert all(r["base_failed"] and not r["kept"] for r in got)
+
+
 @pytest.mark.parametrize(("n", "terms", "rank"), [(300, 120, 40), (30, 200, 96), (7, 3, 5)])
 def test_leading_vectors(n, terms, rank):
     x = np.random.default_rng(n).random((n, terms)) ** 4
