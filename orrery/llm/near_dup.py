@@ -10,9 +10,9 @@ themselves). Pairs whose signatures agree too seldom for the similarity (4.5 sta
 class's most similar pivot is confirmed on full sets. What is still unconnected is linked in rounds. In each bucket that
 holds several components, the members outside its largest one are compared by their signatures with all of its members,
 in blocks of bounded size; each tells the ids of its WIDTH most similar likely partners in other components, no sets.
-The pairs of all buckets together, each once, are joined to their full sets and confirmed, and components are joined. A
-bucket takes part in the next round, with four times the width, if it told any pair, so no link between components is
-given up, and it never yields more than a few rows for each member.
+The pairs of all buckets together, each once, are joined to their full sets and confirmed, and components are joined.
+Buckets in which a member had more likely partners than it told take part in the next round, with eight times the width,
+so no link between components is given up, and no round yields more than a few rows for each member.
 
 With 38 bands of 6 values a pair of similarity 0.8 shares no band with probability 1e-5, one of 0.9 with 1e-13.
 
@@ -40,8 +40,8 @@ BANDS, ROWS = 38, 6
 DEVIATIONS = 4.5
 #: Members of a bucket that one task compares with as many others, about.
 BLOCK = 2048
-#: Likely partners that a member tells in the first round at most; each further round allows four times as many.
-WIDTH = 4
+#: Likely partners that a member tells in the first round at most; each further round allows eight times as many.
+WIDTH = 16
 #: Bytes of texts whose sets are held at once.
 SPAN = 1 << 21
 #: Shingles that go through a permutation at once.
@@ -218,7 +218,7 @@ def partners(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: floa
     return asked.union(asking).groupBy("key", "y", "x").applyInArrow(compare, "key long, a long, b long, more boolean")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """row, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is the row's) of every document."""
     names = list(dict.fromkeys([*(keep or docs.columns), id_col]))
     base = written(signed(docs, text_col, names, size, bands, rows).withColumn("id", F.col(f"row.`{id_col}`")))
@@ -249,18 +249,18 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     best = Window.partitionBy("b").orderBy(F.desc("alike"), "a")
     judged = written(pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b"))
     links = written(confirmed(judged, sets, percent))
-    labels, width = components(links), WIDTH
+    labels, left = components(links), buckets
     while True:
-        told = written(partners(buckets, labels, signs, least, width, block))
+        told = written(partners(left, labels, signs, least, width, block))
         new = written(told.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if told.filter("more").isEmpty():
-                break
-        else:
+        if not new.isEmpty():
             judged = judged.union(new)
             links = links.union(written(confirmed(new, sets, percent)))
             labels = components(links)
-        buckets, width = buckets.join(told.select("key").distinct(), "key", "left_semi"), 4 * width
+        more = told.filter("more").select("key").distinct()
+        if more.isEmpty():
+            break
+        left, width = left.join(more, "key", "left_semi"), 8 * width
 
     ids = sigs.select("class", "id").join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     first = ids.groupBy("component").agg(F.min("id").alias("component_id"))

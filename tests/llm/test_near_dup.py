@@ -53,12 +53,12 @@ def texts():
     return [*ODD, *base, *near, *base, *chain, *passage, *["Copy of one TEXT"] * 30, "copy OF one text", "ONE"]
 
 
-@pytest.mark.parametrize(("size", "block"), [(2, 2048), (5, 2048), (2, 4)])
-def test_against_brute_force(spark, make_docs, size, block):
+@pytest.mark.parametrize(("size", "block", "width"), [(2, 2048, 16), (5, 2048, 16), (2, 4, 1)])
+def test_against_brute_force(spark, make_docs, size, block, width):
     all_texts = texts()
     ids = list(range(len(all_texts)))
     random.Random(5).shuffle(ids)
-    got = near_dup.linked(make_docs(all_texts, ids), size=size, block=block).collect()
+    got = near_dup.linked(make_docs(all_texts, ids), size=size, block=block, width=width).collect()
     found = sorted((r["row"]["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
     assert found == sorted(brute(all_texts, ids, size))
 
