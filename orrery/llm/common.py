@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.shared import ship, written
 
-__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "ship", "shuffle_partitions", "slices", "table", "words_of", "written"]
+__all__ = ["GAP", "KEPT_WORDS", "SPACES", "WordHashes", "carried", "mapped", "mixed", "odd_numbers", "regrouped", "ship", "shuffle_partitions", "slices", "table", "words_of", "written"]
 
 #: Characters between words, in every operator: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -71,6 +71,24 @@ def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordB
             yield batch.slice(start, end - start)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined or cut to ones of about size bytes of a column of texts; a row of more is one by itself."""
+    held, now = [], 0
+    for batch in batches:
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        for k, n in enumerate(lengths.tolist()):
+            if now and now + n > size:
+                held.append(batch.slice(start, k - start))
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, now, start = [], 0, k
+            now += n
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def carried(df: DataFrame, keep: list[str] | None, **inputs: Column) -> DataFrame:
     """row, a struct of the columns in keep (None: all), then the named inputs: what a Python function is handed."""
     ship(df.sparkSession)

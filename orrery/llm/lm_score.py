@@ -3,14 +3,13 @@
 S(w | h) = count(h w) / count(h) if count(h w) >= least, else `backoff` * S(w | h without its first word); at last
 count(w) / words. A document's score is the sum of log S over its words; words at its beginning have shorter h.
 
-Documents are dealt to blocks of bounded size, by what they hold and the partition they are read in, so a task that is
-run again deals alike. A block's n-grams (64-bit hashes), each once with its number, are exploded to buckets by ranges
-of the hash. A bucket's table of counts is the sum over blocks by n-gram; joined back on the n-gram it gives each block
+Each partition's documents are packed into blocks of bounded size, one row with compressed texts for each. A block's
+n-grams (64-bit hashes), each once with its number, are exploded to buckets by ranges of the hash. A bucket's table of counts is the sum over blocks by n-gram; joined back on the n-gram it gives each block
 the sums that differ from the block's own numbers, so n-grams of one block alone get no answer. Each block then sums
 the logarithms of its n-grams' counts per document. The most frequent n-gram is one entry in each block's list. What is
 shuffled is the texts once (both steps on blocks use one exchange) and each block's distinct n-grams, as compressed
 differences of ascending hashes. An answer names its n-grams by their places in the block's ascending list, with the
-list's checksum: a block whose list is another one is an error.
+list's checksum: should a partition that is read again hold other documents, that is an error.
 
 Cases: null and empty texts have no words, the score 0 and no mean. Texts of one word have only the unigram's score.
 Repeated rows count and are scored as often as they occur. Null ids and further columns of any name pass through in
@@ -19,15 +18,18 @@ row; no rows give no rows.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-from .common import WordHashes, carried, mixed, odd_numbers, shuffle_partitions
+from .common import WordHashes, carried, mixed, odd_numbers, regrouped, shuffle_partitions
 
 #: Words of the longest n-gram, the factor of each backoff, and the number from which an n-gram of two or more words counts.
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
@@ -37,6 +39,11 @@ BLOCK = 12 << 20
 ALL = np.uint64(1)
 
 
+def codec() -> pa.Codec:
+    """Compresses a block's texts."""
+    return pa.Codec("zstd", compression_level=3)
+
+
 def n_grams(texts: list[bytes | None], order: int, known: WordHashes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words of each text, each word's place in its text, and the hashes of the n-grams of 1 to order words that end at each word."""
     parts = [np.fromiter(map(known.__getitem__, (t or b"").split()), dtype=np.uint64) for t in texts]
@@ -90,21 +97,41 @@ def unsqueezed(data: bytes, kind: type) -> np.ndarray:
 def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, order: int = ORDER, backoff: float = BACKOFF, least: int = LEAST) -> DataFrame:
     """row, n_words, log_score (sum of natural logarithms) and mean_score (a word's) of every document."""
     buckets = 4 * shuffle_partitions(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
-    row = carried(docs, keep, text=F.col(text_col).cast("binary"))
-    # a partition's rows are the same whenever it is read, though not their order; rows repeated as a whole spread by partitions
-    able = [F.col("row")[f.name] for f in row.schema["row"].dataType.fields if not {"map<", "variant"} & set(re.findall(r"map<|variant", f.dataType.simpleString()))]  # Spark has no hash of the others
-    block = F.pmod(F.xxhash64(F.spark_partition_id(), "text", *able), F.lit(size // BLOCK + 1)).cast("int")
-    blocks = row.withColumn("block", block)
+    rows = carried(docs, keep, text=F.col(text_col).cast("binary"))
+    kind = rows.schema["row"].dataType
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId()
+        for nth, batch in enumerate(regrouped(batches, 1, BLOCK)):
+            texts = batch.column(1)
+            raw = b"".join(t or b"" for t in texts.to_pylist())
+            lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).cast(pa.int64()).to_numpy()
+            name = xxhash.xxh3_64_intdigest(raw, place << 32 | nth) & (1 << 63) - 1
+            packed = len(raw).to_bytes(8, "little") + codec().compress(raw, asbytes=True)
+            row = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lengths]), pa.array([packed], pa.binary()), row], names=["block", "lengths", "texts", "rows"])
+
+    fields = [StructField("block", LongType()), StructField("lengths", ArrayType(LongType())), StructField("texts", BinaryType()), StructField("rows", ArrayType(kind))]
+    blocks = rows.mapInArrow(pack, StructType(fields))
+
+    def unpacked(group: pa.Table) -> list[bytes]:
+        out = []
+        for lengths, data in zip(group["lengths"].to_pylist(), group["texts"].to_pylist(), strict=True):
+            size, at = int.from_bytes(data[:8], "little"), 0
+            raw = codec().decompress(data[8:], decompressed_size=size, asbytes=True) if size else b""
+            for n in lengths:
+                out.append(raw[at : at + n])
+                at += n
+        return out
 
     def ask(group: pa.Table) -> pa.Table:
-        _, place, grams = n_grams(group["text"].to_pylist(), order, WordHashes())
+        _, place, grams = n_grams(unpacked(group), order, WordHashes())
         keys, counts, _ = listed(place, grams)
         bucket = buckets_of(keys, buckets)
         cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(keys)]
         parts = [slice(a, z) for a, z in zip(cuts, cuts[1:], strict=False)]
         return pa.table({
-            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int32()), "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()), "first": pa.array([p.start for p in parts], pa.int64()), "check": pa.array([checksum(keys)] * len(parts), pa.int64()),
+            "block": pa.array([group["block"][0].as_py()] * len(parts), pa.int64()), "bucket": pa.array([int(bucket[p.start]) for p in parts], pa.int32()), "first": pa.array([p.start for p in parts], pa.int64()), "check": pa.array([checksum(keys)] * len(parts), pa.int64()),
             "keys": pa.array([squeezed(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()), "counts": pa.array([squeezed(counts[p]) for p in parts], pa.binary()),
         })
 
@@ -123,16 +150,15 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             start += len(x)
         return pa.table({"block": group["block"], "first": group["first"], "check": group["check"], "at": pa.array(at, pa.binary()), "totals": pa.array(sums, pa.binary())})
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "block int, bucket int, first long, check long, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(add, "block int, first long, check long, at binary, totals binary")
+    asked = blocks.groupBy("block").applyInArrow(ask, "block long, bucket int, first long, check long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(add, "block long, first long, check long, at binary, totals binary")
 
     def total(group: pa.Table, answer: pa.Table) -> pa.Table:
-        texts = group["text"].to_pylist()
-        lengths, place, grams = n_grams(texts, order, WordHashes())
+        lengths, place, grams = n_grams(unpacked(group), order, WordHashes())
         keys, counts, at_list = listed(place, grams)
         del grams
-        if any(c != checksum(keys) for c in set(answer["check"].to_pylist())):
-            raise RuntimeError("a block's documents changed between two reads of the input")
+        if set(answer["check"].to_pylist()) != {checksum(keys)}:
+            raise RuntimeError("a partition's documents changed between two reads of the input")
         for first, at, totals in zip(*(answer[c].to_pylist() for c in ("first", "at", "totals")), strict=True):
             counts[first + np.cumsum(unsqueezed(at, np.int64))] = unsqueezed(totals, np.int64)
         logs = np.log(counts)
@@ -147,10 +173,9 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             penalty[able[~enough]] += np.log(backoff)
         at = np.nonzero(open_)[0]
         out[at] = logs[at_list[0][at]] - logs[0] + penalty[at]
-        sums = np.zeros(len(texts))
-        np.add.at(sums, np.repeat(np.arange(len(texts)), lengths), out)
+        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), out, minlength=len(lengths))
         means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
-        return pa.table({"row": group["row"], "n_words": pa.array(lengths), "log_score": pa.array(sums), "mean_score": means})
+        return pa.table({"row": group["rows"].combine_chunks().flatten(), "n_words": pa.array(lengths), "log_score": pa.array(sums), "mean_score": means})
 
-    schema = StructType([StructField("row", blocks.schema["row"].dataType), StructField("n_words", LongType()), StructField("log_score", DoubleType()), StructField("mean_score", DoubleType())])
+    schema = StructType([StructField("row", kind), StructField("n_words", LongType()), StructField("log_score", DoubleType()), StructField("mean_score", DoubleType())])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(total, schema)

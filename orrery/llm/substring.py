@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, carried, mapped, mixed, odd_numbers, shuffle_partitions, written
+from .common import WordHashes, carried, mapped, mixed, odd_numbers, regrouped, shuffle_partitions, written
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 13, 6
@@ -113,20 +112,7 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
     """Batches joined or cut to blocks of about BLOCK words (seven bytes each)."""
-    held, size = [], 0
-    for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        start = 0
-        for k, n in enumerate(lengths.tolist()):
-            if size and size + n > 7 * BLOCK:
-                held.append(batch.slice(start, k - start))
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size, start = [], 0, k
-            size += n
-        if start < batch.num_rows:
-            held.append(batch.slice(start))
-    if held and sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return regrouped(batches, text, 7 * BLOCK)
 
 
 def unrepeated(batch: pa.RecordBatch) -> pa.RecordBatch:
