@@ -161,7 +161,7 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             raise RuntimeError("a partition's documents changed between two reads of the input")
         for first, at, totals in zip(*(answer[c].to_pylist() for c in ("first", "at", "totals")), strict=True):
             counts[first + np.cumsum(unsqueezed(at, np.int64))] = unsqueezed(totals, np.int64)
-        logs = np.log(counts)
+        logs = np.log(np.maximum(counts, 1))
         out, penalty, open_ = np.zeros(len(place)), np.zeros(len(place)), np.ones(len(place), bool)
         for n in range(order, 1, -1):
             able = np.nonzero(open_ & (place >= n - 1))[0]
@@ -173,7 +173,7 @@ def scored(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
             penalty[able[~enough]] += np.log(backoff)
         at = np.nonzero(open_)[0]
         out[at] = logs[at_list[0][at]] - logs[0] + penalty[at]
-        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), out, minlength=len(lengths))
+        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), out, minlength=len(lengths)).astype(float)
         means = pa.array(sums / np.maximum(lengths, 1), mask=lengths == 0)
         return pa.table({"row": group["rows"].combine_chunks().flatten(), "n_words": pa.array(lengths), "log_score": pa.array(sums), "mean_score": means})
 
