@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.errors import RetrievalError
 from orrery.functions import paths
-from orrery.shared import written
+from orrery.shared import ship, written
 
 #: Missing files that an error lists.
 LISTED = 5
@@ -43,10 +45,15 @@ def with_paths(records: DataFrame, root: str) -> DataFrame:
     return records.withColumn("path", paths.joined(F.lit(root), F.col("file_name")))
 
 
-def files_beneath(spark: SparkSession, root: str) -> DataFrame:
-    """path of each file beneath root, listed by Spark."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return listed.select(F.regexp_replace("path", r"\Afile:(?://)?", "").alias("path"))
+def files_of(records: DataFrame) -> DataFrame:
+    """path of each record's file that exists, looked up in the tasks (on a file system that executors share)."""
+    ship(records.sparkSession)
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([os.path.isfile(p) for p in batch.column(0).to_pylist()], pa.bool_()))
+
+    return records.select("path").distinct().mapInArrow(there, "path string")
 
 
 def missing(records: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:

@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 from orrery.functions import paths, signatures, vectors
 from orrery.operators import results, search, select
 from orrery.sources.cache import same_order, well_shaped
+from orrery.sources.manifest import judged, parsed
 
 STRIDE, K, DIGITS = 100, 10, 6
 ASKED, UNKNOWN = (5, 2, 5, 77), (3, -1, 999999999, 5, -1)
+#: Elements of a manifest, for numbers of pages: three that break no rule, except that the last repeats an id.
+MADE = (
+    '{"id": %d, "file_name": "a/b.jpg"}', '{"id": %d, "file_name": "c.jpg", "height": 4}', '{"id": %d.5, "file_name": "a"}', '{"id": "%d", "file_name": "a"}',
+    '{"id": %d, "file_name": " "}', '{"id": %d, "file_name": 5}', '{"id": %d, "file_name": "../a"}', '{"id": -1, "file_name": "p%d"}',
+)
 NAMES = ("a/b.jpg", "/tmp/a.jpg", "C:\\a.jpg", "\\\\host\\a.jpg", "a/../b", "a\\..\\b", "..", "..\n", "C:x", "\\x", "a..b/c", "../a")
 
 
@@ -73,11 +79,22 @@ def missing_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """The first repeat of each id, as the manifest's rules find it."""
+    rows = select.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn"), "conv_id", "turn")
+    item = F.to_json(F.struct(F.col("conv_id").alias("id"), F.concat(F.lit("t/"), "turn").alias("file_name")))
+    repeats = judged(parsed(rows.select("pos", item.alias("item")))).filter(F.col("violation").startswith("Duplicate"))
+    first = repeats.groupBy("image_id").agg(F.min("pos").alias("pos"))
+    return rows.join(first, "pos").select("conv_id", "turn")
 
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn")
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("nth", nth).filter("nth = 2").select("conv_id", "turn")
+
+def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of all kinds, made from pages, and the rule that each breaks."""
+    rows = select.numbered(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"), "page_id")
+    made = F.when(F.col("pos") % 9 == 0, "5")
+    for k, text in enumerate(MADE, 1):
+        made = made.when(F.col("pos") % 9 == k, F.format_string(text, "page_id"))
+    found = judged(parsed(rows.select("pos", made.alias("item"))))
+    return found.select("pos", F.when(F.col("violation").isNull(), "fine").otherwise(F.regexp_replace("violation", r"images\[\d+\]", "images[]")).alias("verdict"))
 
 
 def unsafe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +159,7 @@ def cache_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        topk_stride, topk_explicit_ids, topk_head_limit, score_all_one_query, query_positions_stride, unknown_query_ids, select_head, missing_preview, duplicate_ids, unsafe_paths,
+        topk_stride, topk_explicit_ids, topk_head_limit, score_all_one_query, query_positions_stride, unknown_query_ids, select_head, missing_preview, duplicate_ids, manifest_rules, unsafe_paths,
         path_join, image_signature, l2_normalize, mean_pool, token_pool, channel_normalize, batch_assignment, run_summary, nested_results, cache_check,
     )
 }
@@ -176,6 +193,9 @@ SQL: dict[str, str] = {
     "select_head": f"WITH {_P} SELECT pos, page_id AS image_id, url AS file_name FROM p WHERE pos < 100",
     "missing_preview": "WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id FROM documents), m AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT pos, doc_id, greatest((SELECT count(*) FROM m) - 5, 0) AS more FROM m ORDER BY pos LIMIT 5",
     "duplicate_ids": "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 2",
+    "manifest_rules": f"""WITH {_P} SELECT pos, CASE WHEN pos % 9 = 0 THEN 'images[] must be an object.' WHEN pos % 9 IN (3, 4) THEN 'images[].id must be an integer of at most 64 bits.'
+        WHEN pos % 9 IN (5, 6) THEN 'images[].file_name must be a non-empty string.' WHEN pos % 9 = 7 THEN 'images[].file_name must be relative to dataset.root: ../a'
+        WHEN pos % 9 = 8 AND pos > 8 THEN 'Duplicate image id in manifest: -1' ELSE 'fine' END AS verdict FROM p""",
     "unsafe_paths": f"WITH n AS (SELECT url AS name FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(map(_text, NAMES))})) SELECT name, regexp_matches(name, '{_PATTERN}') AS unsafe, trim(name) = '' AS blank FROM n",
     "path_join": f"WITH {_P}, j AS (SELECT page_id, regexp_replace('/data/' || url, '/(\\.?/)+', '/', 'g') AS path FROM p) SELECT page_id AS image_id, regexp_replace(path, '(/\\.?)+$', '') AS path FROM j",
     "image_signature": "SELECT sha256(string_agg(CAST(page_id AS VARCHAR) || chr(0) || url || chr(10), '' ORDER BY page_id)) AS signature FROM pages",

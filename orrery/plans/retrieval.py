@@ -32,10 +32,10 @@ def features_of(records: DataFrame, started: Started, checkpoint: str, embedder:
 
 def run_retrieval(started: Started, embedder: embed.Embedder | None = None) -> dict[str, Any]:
     """Runs what the configuration asks for; returns the metadata, which are written last."""
-    config, spark = started.config, started.records.sparkSession
+    config = started.config
     records = select.head(started.records, config.dataset.max_images)
     select.require_two(records)
-    select.require_files(records, select.files_beneath(spark, f"file://{config.dataset.root}"))
+    select.require_files(records, select.files_of(records))
     queries = written(select.queries_of(records, config.h1.query_image_ids, config.h1.query_stride))
 
     output = config.output

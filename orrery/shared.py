@@ -28,9 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def top_folder(spark: SparkSession) -> str:
-    """This application's part of spark.checkpoint.dir, which driver and executors share (/tmp/checkpoints where the session has none, as in tests)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{top}/orrery/{spark.sparkContext.applicationId}"
+    """This application's part of spark.checkpoint.dir, which driver and executors share.
+
+    Where the session has none, /tmp/checkpoints serves if all runs on one machine (as in tests); else that is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return f"{top or 'file:///tmp/checkpoints'}/orrery/{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession) -> str:

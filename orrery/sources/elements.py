@@ -1,0 +1,160 @@
+"""The elements of a manifest's list, one at a time, from its lines as they come."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+
+#: Characters of text that are kept before more are asked for, and rows that are put out together.
+AHEAD, ROWS = 1 << 20, 10_000
+#: What can't be cut from a number, a word or a string without changing it.
+PLAIN = re.compile(r"[-+.0-9A-Za-z]+")
+
+
+class Text:
+    """JSON text that grows from a source as it is read."""
+
+    def __init__(self, source: Iterator[str]) -> None:
+        self.source, self.held, self.at = source, "", 0
+
+    def more(self) -> bool:
+        part = next(self.source, None)
+        if part is not None:
+            self.held, self.at = self.held[self.at :] + part, 0
+        return part is not None
+
+    def sign(self) -> str:
+        """The next character that is no white space, which stays; "" at the end."""
+        while True:
+            while self.at < len(self.held) and self.held[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.held):
+                return self.held[self.at]
+            if not self.more():
+                return ""
+
+    def take(self, sign: str) -> bool:
+        found = self.sign() == sign
+        self.at += found
+        return found
+
+    def value(self) -> object:
+        """The next value, of which the text may have to be made longer to hold it."""
+        if not self.sign():
+            raise ValueError("the text ends where a value was expected")
+        while True:
+            try:
+                found, end = DECODER.raw_decode(self.held, self.at)
+                if end < len(self.held) or not PLAIN.fullmatch(self.held[self.at : end]) or not self.more():
+                    self.at = end if end <= len(self.held) else self.at
+                    return found
+            except ValueError:
+                if not self.more():
+                    raise
+            # a value that did not end here may go on for long: let the text grow by as much again before the next try
+            size = len(self.held)
+            while len(self.held) < 2 * size and self.more():
+                pass
+
+
+def no_constant(name: str) -> object:
+    raise ValueError(f"{name} is no JSON")
+
+
+#: Numbers with a point or exponent are no ids, whatever their value.
+DECODER = json.JSONDecoder(parse_constant=no_constant, parse_float=lambda _: 0.5)
+
+
+def listed(text: Text) -> Iterator[object]:
+    """The elements of a list after its opening sign."""
+    while not text.take("]"):
+        yield text.value()
+        if not text.take(","):
+            if not text.take("]"):
+                raise ValueError("a list goes on without a comma")
+            return
+        if text.sign() == "]":
+            raise ValueError("a list ends with a comma")
+
+
+def items_of(text: Text) -> Iterator[object]:
+    """None where the list `images` begins, and each of its elements in a tuple. Other values are read, lists one element at a time, and dropped."""
+    problem = "Manifest must be an object with a list 'images'"
+    if text.sign() != "{":
+        text.value()
+        raise TypeError(problem)
+    text.take("{")
+    kept: bool | None = None
+    if not text.take("}"):
+        while True:
+            key = text.value()
+            if not isinstance(key, str) or not text.take(":"):
+                raise ValueError("an object has a key that is no string")
+            mine = key == "images"
+            if text.take("["):
+                if mine:
+                    kept = True
+                    yield None  # a list begins
+                for value in listed(text):
+                    if mine:
+                        yield (value,)
+            else:
+                text.value()
+                kept = False if mine else kept
+            if text.take("}"):
+                break
+            if not text.take(","):
+                raise ValueError("an object goes on without a comma")
+    if text.sign():
+        raise ValueError("text follows the object")
+    if not kept:
+        raise TypeError(problem)
+
+
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pos and item (JSON of an object's id and file_name) of each element, or one row with a problem.
+
+    batches: one file's text up to each closing brace, the bytes of that, where its part of the file starts, and the
+    bytes of the file.
+    """
+
+    def source() -> Iterator[str]:
+        held: list[str] = []
+        size = seen = block = 0
+        for batch in batches:
+            for line, octets, start, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if start < block:
+                    raise RuntimeError("the parts of a manifest come out of order")
+                block, seen = start, seen + octets + 1
+                held.append(line + "}" if seen <= whole else line)  # the last one may end without it
+                size += len(line) + 1
+                if size >= AHEAD:
+                    yield "".join(held)
+                    held, size = [], 0
+        yield "".join(held)
+
+    def rows(pos: list, items: list, problem: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(items, pa.string()), pa.array(problem, pa.string())], names=["pos", "item", "problem"])
+
+    pos, items, nth, lists, problem = [], [], 0, 0, None
+    try:
+        for item in items_of(Text(source())):
+            if item is None:
+                lists += 1
+                if lists > 1:
+                    raise TypeError("Manifest has more than one list 'images'")
+                continue
+            pos.append(nth)
+            items.append(json.dumps({k: item[0][k] for k in ("id", "file_name") if k in item[0]} if isinstance(item[0], dict) else 0, ensure_ascii=False))
+            nth += 1
+            if len(pos) == ROWS:
+                yield rows(pos, items, [None] * ROWS)
+                pos, items = [], []
+    except TypeError as error:
+        problem = str(error)
+    except (ValueError, RecursionError):
+        problem = "Manifest is not valid JSON"
+    yield rows(pos, items, [None] * len(pos)) if problem is None else rows([None], [None], [problem])

@@ -1,7 +1,10 @@
 """Manifests: a JSON object whose list `images` names records by id and file_name.
 
-The text is parsed as VARIANT, which keeps the kinds of values apart, so 1.0, true and "1" are no ids. One CASE column
-names the first rule that a record breaks, and the error of the record that comes first is raised.
+A manifest may be of any size: it is split once, as a stream in one task, into the elements of its list, and no value
+holds more than one of them. Each element is then judged by itself as VARIANT, which keeps the kinds of values apart,
+so 1.0, true and "1" are no ids. One CASE column names the first rule that a record breaks, and the error of the record
+that comes first is raised. A folder or pattern of JSON-lines files, an element in each line, is read in parallel by
+read_records().
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 
 from orrery.errors import ManifestError
 from orrery.functions import paths
+from orrery.shared import ship, written
+from orrery.sources.elements import elements
 
 #: Of a record: its place in the list, id and name.
 RECORDS = "pos long, image_id long, file_name string"
@@ -22,22 +27,34 @@ def kind(column: str) -> Column:
 
 
 def raw_records(spark: SparkSession, manifest: str) -> DataFrame:
-    """pos and item (variant) of each element of `images`."""
+    """pos and item (variant) of each element of `images`, spread over tasks."""
+    ship(spark)
     try:
-        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts, as usual for JSON
-        whole = spark.read.text(manifest, wholetext=True)
-        top = whole.select(F.try_parse_json("value").alias("v"))
-        shape = top.select(F.col("v").isNull().alias("broken"), kind("v").alias("kind"), kind_of(F.try_variant_get("v", "$.images", "variant")).alias("images")).head(2)
+        files = spark.read.format("binaryFile").load(manifest).select("length").take(2)
+        if len(files) != 1:
+            raise ManifestError(f"Manifest must be one file: {manifest}")
+        start = F.col("_metadata.file_block_start").alias("start")
+        text = spark.read.option("lineSep", "}").text(manifest).select("value", F.octet_length("value").cast("long"), start, F.lit(files[0]["length"] if files else 0).cast("long"))
+        parts = written(text.coalesce(1).mapInArrow(elements, "pos long, item string, problem string"))
+        problem = parts.filter("problem is not null").select("problem").first()
     except PySparkException as error:
         raise ManifestError(f"Manifest can't be read: {manifest}: {error}") from error
-    if not shape or shape[0]["broken"]:
-        raise ManifestError(f"Manifest is not valid JSON: {manifest}")
-    if len(shape) > 1:
-        raise ManifestError(f"Manifest must be one file: {manifest}")
-    if not str(shape[0]["kind"]).startswith("OBJECT") or not str(shape[0]["images"]).startswith("ARRAY"):
-        raise ManifestError(f"Manifest must be an object with a list 'images': {manifest}")
-    items = F.variant_get("v", "$.images", "array<variant>")
-    return top.select(F.posexplode_outer(items).alias("pos", "item")).filter("pos is not null")
+    if problem:
+        raise ManifestError(f"{problem[0]}: {manifest}")
+    return parsed(parts.filter("pos is not null"))
+
+
+def read_records(spark: SparkSession, lines: str) -> DataFrame:
+    """pos and item (variant) of JSON-lines files, an element of a manifest's list in each line; Spark splits them."""
+    from orrery.operators.select import numbered
+
+    text = spark.read.text(lines).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth"))
+    return parsed(numbered(text.filter("trim(value) <> ''"), "file", "nth").select("pos", F.col("value").alias("item")))
+
+
+def parsed(parts: DataFrame) -> DataFrame:
+    """pos and item as VARIANT; one that is no JSON is null, as no object."""
+    return parts.select("pos", F.try_parse_json("item").alias("item"))
 
 
 def kind_of(value: Column) -> Column:

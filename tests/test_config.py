@@ -9,10 +9,10 @@ from orrery.sources.config import load_config
 def test_paths_are_resolved(make_run, tmp_path):
     config = load_config(make_run())
     assert config.dataset.root == tmp_path / "data"
-    assert config.output.query_results == tmp_path / "out/queries/results.json"
-    assert config.model_key == "net" and config.model.image_size == (224, 224)
+    assert config.output.query_results == tmp_path / "out/made/query_results"
+    assert config.model_key == "net" and config.model.image_size == (32, 48)
     assert config.serializable()["output"]["root"] == str(tmp_path / "out")
-    assert config.serializable()["net"]["mean"] == [0.5, 0.5, 0.5]
+    assert config.serializable()["net"]["mean"] == [0, 0.25, 0.5]
 
 
 @pytest.mark.parametrize(
@@ -20,8 +20,8 @@ def test_paths_are_resolved(make_run, tmp_path):
     [
         ({"output__query_results": "../escaped/results.json"}, "outside output.root"),
         ({"dataset__roots": "wrong"}, r"dataset\.roots"),
-        ({"output__metadata": "queries/results.json"}, "must be unique"),
-        ({"output__metadata": "queries"}, "must not contain"),
+        ({"output__metadata": "made/query_results"}, "must be unique"),
+        ({"output__metadata": "made"}, "must not contain"),
         ({"output__metadata": "."}, "must not be output.root"),
         ({"experiment__seed": True}, "non-negative"),
         ({"experiment__name": " "}, "non-empty"),
@@ -49,7 +49,7 @@ def test_missing_file_and_key(make_run, tmp_path):
     with pytest.raises(ConfigError, match="does not exist"):
         load_config(tmp_path / "none.yaml")
     config = make_run()
-    config.write_text(config.read_text().replace("seed: 24", ""))
+    config.write_text(config.read_text().replace("seed: 3", ""))
     with pytest.raises(ConfigError, match=r"Missing.*experiment\.seed"):
         load_config(config)
     config.write_bytes(b"a: \xff")

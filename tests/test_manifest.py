@@ -3,12 +3,14 @@ from __future__ import annotations
 import json
 from pathlib import Path, PurePosixPath, PureWindowsPath
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.errors import ManifestError
 from orrery.functions import paths
-from orrery.sources.manifest import read_manifest
+from orrery.sources import elements
+from orrery.sources.manifest import judged, read_manifest, read_records
 
 
 def read(spark, folder: Path, text: str | bytes) -> list[tuple]:
@@ -51,6 +53,44 @@ def test_violations(spark, tmp_path, images, message):
         read(spark, tmp_path, json.dumps({"images": images}))
 
 
+def test_parts_of_any_cut(monkeypatch):
+    """However the text is cut, elements are those of the JSON library; what it refuses is refused."""
+    monkeypatch.setattr(elements, "AHEAD", 1)
+    good = ['{"a": [1, {"b": "}]"}], "images": [{"id": 12, "file_name": "x}y"}, 5, null, [1], {"id": 1.5e3}], "z": {"q": [{}]}}', '{"images":[]}\n', ' { "images" : [ {} ] } ']
+    bad = ['{"images": [1,]}', '{"images": [1 2]}', '{"images": [1]', '{"images": [NaN]}', '{"images": [1]} x', '{"images" [1]}', '{"images": [1]}}', '{1: 2}', "", '{"images": [{"id": 1]}}']
+
+    def run(text):
+        size, parts = len(text.encode()), text.split("}")
+        if parts[-1] == "":
+            parts.pop()
+        batch = pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array([len(p.encode()) for p in parts]), pa.array([0] * len(parts)), pa.array([size] * len(parts))], names=list("abcd"))
+        return pa.Table.from_batches(elements.elements(iter([batch] if parts else []))).to_pylist()
+
+    for text in good:
+        want = [{k: x[k] for k in ("id", "file_name") if k in x} if isinstance(x, dict) else 0 for x in json.loads(text)["images"]]
+        assert [json.loads(r["item"]) for r in run(text)] == [w if w != {"id": 1500.0} else {"id": 0.5} for w in want]
+    for text in bad:
+        assert run(text)[-1]["problem"] == "Manifest is not valid JSON", text
+    assert "a list 'images'" in run('{"images": 3}')[-1]["problem"] and "more than one" in run('{"images": [], "images": [1]}')[-1]["problem"]
+
+
+def test_a_manifest_of_150_megabytes(spark, tmp_path):
+    file, n = tmp_path / "large.json", 400_000
+    with file.open("w") as out:  # one line, as such files mostly are
+        out.write('{"annotations": [' + ",".join(f'{{"id": {k}, "segmentation": [[{k}.5, {"1.25, " * 50} 3]]}}' for k in range(n)) + '], "images": [')
+        out.write(",".join(f'{{"height": 4, "id": {k}, "file_name": "d/{k}.jpg"}}' for k in range(n)) + "]}")
+    assert file.stat().st_size > 150e6
+    got = read_manifest(spark, f"file://{file}")
+    assert got.filter("pos = image_id AND file_name = concat('d/', pos, '.jpg')").count() == n
+
+
+def test_lines_of_records(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 3, "file_name": "x"}\n\n{"id": "3"}\n')
+    (tmp_path / "b.jsonl").write_text('{"id": 3, "file_name": "y"}\n{')
+    got = judged(read_records(spark, f"file://{tmp_path}/*.jsonl")).orderBy("pos").collect()
+    assert [r["pos"] for r in got] == [0, 1, 2, 3] and [r["violation"] is None for r in got] == [True, False, False, False] and "Duplicate" in got[2]["violation"]
+
+
 @pytest.mark.parametrize("text", ["{", "[]", '{"images": 3}', "{}", b'{"images": "\xff'])
 def test_other_shapes(spark, tmp_path, text):
     with pytest.raises(ManifestError):

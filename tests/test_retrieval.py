@@ -140,18 +140,24 @@ def test_startup(spark, make_run, tmp_path):
         validate_startup(spark, load_config(make_run(experiment__device="tpu")))
 
 
+def test_names_that_file_listings_hide(spark, make_run):
+    names = ["_a/1.jpg", ".2.jpg", "_3.jpg"]
+    started = validate_startup(spark, load_config(make_run(names)))
+    assert started.sample.endswith("_a/1.jpg") and run_retrieval(started)["feature_shape"] == [3, 64]
+
+
 def test_run_then_reuse(spark, make_run, tmp_path):
     names = [f"d/{k}.jpg" for k in range(6)]
     config = make_run(names, h1__top_k=9, h1__query_image_ids=[3, 1, 3], dataset__max_images=5)
     first = run_retrieval(validate_startup(spark, load_config(config)))
     assert not first["cache_reused"] and first["feature_shape"] == [5, 64] and first["status"] == "completed"
-    out = json.loads((tmp_path / "out/queries/results.json").read_text())
+    out = json.loads((tmp_path / "out/made/query_results").read_text())
     assert (out["num_images"], out["top_k"]) == (5, 4) and [q["image_id"] for q in out["queries"]] == [3, 1, 3]
     assert out["queries"][0] == out["queries"][2] and [m["rank"] for m in out["queries"][0]["matches"]] == [1, 2, 3, 4]
-    assert (tmp_path / "out/queries/results.json").read_text() == json.dumps(out, indent=2, sort_keys=True) + "\n"
+    assert (tmp_path / "out/made/query_results").read_text() == json.dumps(out, indent=2, sort_keys=True) + "\n"
     again = run_retrieval(validate_startup(spark, load_config(config)))
-    assert again["cache_reused"] and json.loads((tmp_path / "out/queries/results.json").read_text()) == out
-    assert json.loads((tmp_path / "out/meta/run.json").read_text())["cache_reused"]
+    assert again["cache_reused"] and json.loads((tmp_path / "out/made/query_results").read_text()) == out
+    assert json.loads((tmp_path / "out/made/metadata").read_text())["cache_reused"]
     with pytest.raises(RetrievalError, match="other settings"):
         run_retrieval(validate_startup(spark, load_config(make_run(names, dataset__max_images=5, models__net__std=[1, 1, 1]))))
     assert not run_retrieval(validate_startup(spark, load_config(make_run(names, dataset__max_images=5, h1__reuse_feature_cache=False))))["cache_reused"]
