@@ -41,8 +41,8 @@ ROLE_OF = {m: k for k, r in enumerate(ROLES) for m in MARKERS[r]}
 LINE_MARKER = re.compile(r"\A\s{0,3}(?:#{1,4}\s*|\*\*|\[|<\|)?\s*(" + "|".join(sorted(ROLE_OF, key=len, reverse=True)) + r")\s*(?:\*\*\s*:|:\s*\*\*|:|\]\s*:?|\|>)\s*", re.IGNORECASE)
 #: Probabilities: that a marker names its line's role; that a line without a marker goes on with its row's role.
 MARKER, STAY = 0.97, 0.98
-#: Rows of a chunk, about.
-CHUNK = 20_000
+#: Rows and bytes of texts of a chunk, about.
+CHUNK, CHUNK_BYTES = 20_000, 16 << 20
 #: Features of a line: length (4 steps), question, list or code.
 FEATURES = 16
 R = len(ROLES)
@@ -148,7 +148,8 @@ def counted(group: pa.Table) -> pa.Table:
 def formatted(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", marker_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv, nth_row (order_col's value), part, role, content and rendered of every turn found, a row for each."""
     base = turns.select(F.col(id_col).alias("conv"), F.col(order_col).alias("nth_row"), F.col(marker_col).cast("string").alias("marker"), F.col(text_col).cast("string").alias("text"))
-    n = max(1, -(-base.count() // CHUNK))
+    size = base.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-size["rows"] // CHUNK), -(-(size["bytes"] or 0) // CHUNK_BYTES))
     keys = ["conv", "nth_row", "marker", "text", "salt"]
     dealt = base.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     dealt = written(dealt.select("conv", "nth_row", "marker", "text", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().alias("seq")))

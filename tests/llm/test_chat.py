@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from itertools import product
 
 import numpy as np
@@ -56,3 +57,17 @@ def test_viterbi_is_the_best_of_all_paths():
         assert score(chat.best_path(lines, model, before, end), before) == pytest.approx(max(score(p, before) for p in paths))
     matrix = chat.span_matrix(lines, model, False)
     assert matrix[2, 1] == pytest.approx(max(score(p, 2) for p in product(range(chat.R), repeat=5) if p[-1] == 1))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_roles_that_are_hidden(spark):
+    """Of every third row the role is hidden: half of these name it at the beginning of their text, half nowhere."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").toPandas()
+    rows = rows[rows.role.isin(["system", "user", "assistant"])].drop_duplicates(["conv_id", "turn"]).reset_index(drop=True)
+    where = (rows.conv_id * 7 + rows.turn) % 6
+    shown = rows.assign(role=rows.role.where(where > 1, None), text=[f"{r.title()}: {t}" if w == 1 else t for r, t, w in zip(rows.role, rows.text, where, strict=True)])
+    got = chat.formatted(spark.createDataFrame(shown.astype(object).where(shown.notna(), None))).filter("part = 0").toPandas()
+    both = rows.assign(where=where).merge(got, left_on=["conv_id", "turn"], right_on=["conv", "nth_row"])
+    right = (both.role_x == both.role_y).groupby(both["where"].clip(upper=2)).mean()
+    print(f"roles recovered: named in the text {right[1]:.3f}, nowhere {right[0]:.3f}, in their column {right[2]:.3f}; rows {len(both)}")
+    assert right[2] > 0.97 and right[1] > 0.97 and right[0] > 0.8
