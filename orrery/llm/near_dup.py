@@ -9,7 +9,8 @@ In each bucket the class with the least key is the pivot, and every member forms
 themselves). Pairs whose signatures agree too seldom for the similarity (4.5 standard deviations below it) go; each
 class's most similar pivot is confirmed on full sets. What is still unconnected is linked in rounds. In each bucket that
 holds several components, the members outside its largest one are compared by their signatures with all of its members,
-in blocks of bounded size; each tells the ids of its WIDTH most similar likely partners in other components, no sets.
+in blocks of bounded size; each tells the ids of its WIDTH most similar likely partners in other components, no sets,
+and a pair is told only in the first of the buckets it shares.
 The pairs of all buckets together, each once, are joined to their full sets and confirmed, and components are joined.
 Buckets in which a member had more likely partners than it told take part in the next round, with eight times the width,
 so no link between components is given up, and no round yields more than a few rows for each member.
@@ -184,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def partners(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, width: int, block: int) -> DataFrame:
-    """key, a, b: for each member of a bucket outside its largest component, its `width` most similar likely partners in other components there.
+    """key, a, b: for each member of a bucket outside its largest component, its `width` most similar likely partners in other components there, of those that it shares no earlier bucket with.
 
     Further columns: more, whether it has others.
     """
@@ -196,16 +197,18 @@ def partners(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: floa
     members = named.join(parts, "key").join(sigs, "class")
     mine = lambda n: F.pmod(F.xxhash64("class", "key"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asked = members.select("key", each(F.col("rows")).alias("y"), mine(F.col("columns")).alias("x"), F.lit(False).alias("asks"), "class", "component", "sig")
-    asking = members.filter("component <> main").select("key", mine(F.col("rows")).alias("y"), each(F.col("columns")).alias("x"), F.lit(True).alias("asks"), "class", "component", "sig")
+    asked = members.select("key", each(F.col("rows")).alias("y"), mine(F.col("columns")).alias("x"), F.lit(False).alias("asks"), "class", "component", "sig", "keys")
+    asking = members.filter("component <> main").select("key", mine(F.col("rows")).alias("y"), each(F.col("columns")).alias("x"), F.lit(True).alias("asks"), "class", "component", "sig", "keys")
 
     def compare(group: pa.Table) -> pa.Table:
         asks, classes, parts = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "class", "component"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
-        there = np.nonzero(~asks)[0]
+        keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        there, here = np.nonzero(~asks)[0], group["key"][0].as_py()
         a, b, more = [], [], []
         for k in np.nonzero(asks)[0]:
             others = there[parts[there] != parts[k]]
+            others = others[keys[k, (keys[others] == keys[k]).argmax(axis=1)] == here]  # a pair counts in its first common bucket
             alike = (sig[others] == sig[k]).mean(axis=1)
             order = np.lexsort((classes[others], -alike))
             order = order[: np.count_nonzero(alike >= least)]
@@ -251,7 +254,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     links = written(confirmed(judged, sets, percent))
     labels, left = components(links), buckets
     while True:
-        told = written(partners(left, labels, signs, least, width, block))
+        told = written(partners(left, labels, sigs.select("class", "sig", "keys"), least, width, block))
         new = written(told.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             judged = judged.union(new)

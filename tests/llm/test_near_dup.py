@@ -84,7 +84,7 @@ def test_a_bucket_of_many_members(spark):
     for k, c in enumerate(minor):  # each is like two members: one of the large component, one of its own kind
         sig[c] = sig[17 * k]
         sig[c, : 10 + k] = 1
-    sigs = spark.createDataFrame([(c, sig[c].tobytes()) for c in range(n)], "class long, sig binary")
+    sigs = spark.createDataFrame([(c, sig[c].tobytes(), [c, 7, c]) for c in range(n)], "class long, sig binary, keys array<long>")
     labels = spark.range(n - 12).selectExpr("id AS node", "0L AS component")
     buckets = spark.range(n).selectExpr("id AS class", "7L AS key")
     got = near_dup.partners(buckets, labels, sigs, 0.68, 4, 2048).select("a", "b").distinct().collect()
