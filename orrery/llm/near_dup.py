@@ -147,8 +147,8 @@ def with_sets(docs: DataFrame, text_col: str, size: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node of the edges (a, b): least labels, with pointer jumping."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """node and component (its smallest node) of every node of the edges (a, b), which are a written table: least labels, with pointer jumping."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
     total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)")).alias("x")).first()["x"]
     while total is not None:
@@ -162,6 +162,17 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component), with the further edges (a, b): components that these join become one, and nodes that had no edge come in."""
+    ends = edges
+    for end in "ab":
+        of = labels.select(F.col("node").alias(f"node_{end}"), F.col("component").alias(f"component_{end}"))
+        ends = ends.join(of, F.col(end) == F.col(f"node_{end}"), "left").withColumn(end, F.coalesce(f"component_{end}", end)).select("a", "b")
+    tops = components(written(ends.filter("a <> b").distinct())).select(F.col("node").alias("was"), F.col("component").alias("top"))
+    moved = labels.join(tops, F.col("component") == F.col("was"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    return written(moved.union(tops.join(labels, F.col("was") == F.col("node"), "left_anti").select("was", "top")))
+
+
 def likely(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """a, b and alike (share of equal signature values) of the pairs where that is at least `least`."""
 
@@ -258,12 +269,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         new = written(told.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             judged = judged.union(new)
-            links = links.union(written(confirmed(new, sets, percent)))
-            labels = components(links)
-        more = told.filter("more").select("key").distinct()
+            links = written(confirmed(new, sets, percent))
+            if not links.isEmpty():
+                labels = joined(labels, links)
+        more = told.filter("more").select("key")
         if more.isEmpty():
             break
-        left, width = left.join(more, "key", "left_semi"), 8 * width
+        left, width = buckets.join(more.distinct(), "key", "left_semi"), 8 * width
 
     ids = sigs.select("class", "id").join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     first = ids.groupBy("component").agg(F.min("id").alias("component_id"))
