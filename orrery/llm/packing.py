@@ -9,7 +9,7 @@ The search is bin completion by branch and bound. Around the longest piece left
 left of the sequence, drops the dominated ones (another piece fits in, or a longer piece fits in one's stead), takes
 those of least waste first, and prunes branches whose waste can no longer beat the incumbent. The first descent takes
 the best fitting filling each time, and is the first incumbent; the search ends when the incumbent meets the bound
-total / capacity or after `nodes` branchings.
+total / capacity or after `nodes` branchings that follow the first incumbent, however many the first descent takes.
 
 Cases: a null or empty text has only the end token. Repeated rows are documents of their own. A null id is kept. No
 rows give no rows.
@@ -34,7 +34,7 @@ from .common import carried, mapped, shuffle_partitions, written
 
 #: Tokens of a sequence, and the id that ends each document.
 CAPACITY, END = 4096, 1
-#: Branchings of the search at most, fillings tried at each, and steps to find them.
+#: Branchings of the search after the first incumbent at most, fillings tried at each, and steps to find them.
 NODES, WIDTH, STEPS = 2000, 8, 4000
 #: Bytes of text whose words are looked up together, and words that are kept (see Words).
 SPAN, KEPT = 1 << 21, 500_000
@@ -272,7 +272,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES
             continue  # its waste can't beat the incumbent
         place(filling, m)
         if left:
-            nodes -= 1
+            nodes -= best is not None
             path.append((filling, m))
             waste += m * w
             bins += m

@@ -66,6 +66,13 @@ def test_plan_of_many_short_pieces(sizes, least):
     assert used == Counter(sizes) and sum(m for _, m in plan) == least
 
 
+def test_branchings_count_from_the_first_incumbent_on():
+    rng = random.Random(107)
+    sizes = dict(Counter(rng.randint(100, 400) for _ in range(60)))
+    bins = [sum(m for _, m in packing.plan(sizes, 1000, nodes=n)) for n in (0, 12)]
+    assert bins == [16, -(-sum(s * n for s, n in sizes.items()) // 1000)]  # the first descent alone takes more than 12
+
+
 def test_fillings_are_undominated():
     counts = {50: 1, 30: 2, 20: 1, 5: 1}
     found = packing.fillings(counts, 60)
