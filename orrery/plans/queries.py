@@ -138,7 +138,8 @@ def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
-    return rows.agg(F.count("*").alias("indexed"), F.least(F.count("*"), F.lit(300)).cast("long").alias("selected"), F.max(F.size("features")).cast("long").alias("dimensions"))
+    selected = select.head(rows, 300).agg(F.count("*")).scalar()
+    return rows.agg(F.count("*").alias("indexed"), F.max(F.size("features")).cast("long").alias("dimensions")).select("indexed", selected.alias("selected"), "dimensions")
 
 
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
