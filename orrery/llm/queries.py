@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm_score, near_dup, packing, quality_classifier, quality_rules, substring, topk, url_filter
+from . import bpe, chat, lm_score, near_dup, packing, quality_classifier, quality_rules, simhash, spelling, substring, topk, url_filter, vector_codes
 from .common import table
 
 #: Host, beginning of the path, verdict.
@@ -82,6 +82,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "fingerprint", "component_id")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, codebooks = vector_codes.encoded(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    coded = vector_codes.with_label_error(rows.select("row.vec_id", F.lower(F.hex("code")).alias("code"), "error", "row.label"), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -94,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lm_score_order2": lm_score_order2,
     "op9_substring": op9_substring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling": op11_spelling,
+    "op12_simhash": op12_simhash,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: The words of a text, in SQL.
