@@ -116,6 +116,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The words of a text, in SQL.
 _WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
+
+
+def _nearest(k: int) -> str:
+    """Each part's nearest entry of codebook k."""
+    far = "CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    return f"a{k} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x, min(far) AS d, arg_min(e, far * 64 + e) AS e FROM (SELECT vec_id, label, x.p, x, e, {far} AS far FROM x JOIN b{k} USING (p)) GROUP BY vec_id, p)"
+
+
+def _round(k: int) -> str:
+    """Codebook k + 1 from codebook k."""
+    return f"""{_nearest(k)},
+        m{k} AS (SELECT p, e, list(CAST(floor(y) AS BIGINT) ORDER BY i) AS c FROM (SELECT p, e, i, sum(y)::DOUBLE / count(*) AS y FROM (SELECT p, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+        b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))"""
+
+
 SQL: dict[str, str] = {
     "op3_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS p FROM embeddings
@@ -177,4 +192,28 @@ SQL: dict[str, str] = {
         kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM t ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
         n AS (SELECT doc_id, count(*) AS removed FROM gone GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op11_spelling": """
+        WITH RECURSIVE steps AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT)) AS crc),
+        runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{00C0}-\\x{00FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+        each_run AS (SELECT doc_id, run, count(*) AS n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM runs GROUP BY doc_id, run),
+        h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, crc[CAST(xor(c, b::BIGINT) & 255 AS INTEGER) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM each_run, steps),
+        slip AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+        w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slip WHERE length(word) >= 7 GROUP BY word HAVING sum(slip.n) >= 2),
+        cut AS MATERIALIZED (SELECT word, i, left(word, CAST(i AS INTEGER)) AS a, substr(word, CAST(i AS INTEGER) + 2) AS b FROM (SELECT word, unnest(range(0, length(word))) AS i FROM w)),
+        less AS (SELECT DISTINCT cut.word AS long, w.word AS short FROM cut JOIN w ON w.word = cut.a || cut.b),
+        near AS (SELECT x.word, y.word AS near FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word UNION ALL SELECT long, short FROM less UNION ALL SELECT short, long FROM less),
+        best AS (SELECT near.word, count(*) AS n_near, arg_min(near.near, {'a': -w.n, 'b': near.near}) AS near, max(w.n) AS near_n FROM near JOIN w ON w.word = near.near GROUP BY near.word),
+        f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n FROM w LEFT JOIN best USING (word)),
+        r AS (SELECT word, coalesce(form, word) AS root FROM f UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+        top AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN top USING (word)""",
+    "op13_vector_codes": f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings
+                                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, label, CAST(p AS INTEGER) AS p, z[p * (len(z) // 16) + 1:(p + 1) * (len(z) // 16)] AS x FROM v, generate_series(0, 15) AS t(p)),
+        b0 AS MATERIALIZED (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id) AS INTEGER) - 1 AS e, x AS c FROM x QUALIFY e < 64),
+        {", ".join(_round(k) for k in range(2))},
+        {_nearest(2)}
+        SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error, CAST(sum(sum(d)) OVER (PARTITION BY any_value(label)) AS BIGINT) AS label_error,
+            (SELECT sha256(string_agg(y, ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM b2)) AS codebooks_sha256 FROM a2 GROUP BY vec_id""",
 }
