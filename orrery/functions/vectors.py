@@ -1,12 +1,16 @@
-"""Functions on array columns. All sums are of doubles, in the order of the elements."""
+"""Functions on array columns. Sums are of doubles."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrery.functions import arrays, resample
+
 #: The least norm that vectors are divided by.
 LEAST_NORM = 1e-12
 
@@ -37,29 +41,30 @@ def l2_normalized(vector: Column) -> Column:
     return F.transform(doubles(vector), lambda x: x / length)
 
 
-def mean(vector: Column) -> Column:
-    return F.aggregate(doubles(vector), F.lit(0.0), lambda a, x: a + x) / F.size(vector)
+def of_shape(function: Callable[[np.ndarray], np.ndarray], shape: Sequence[int]) -> Callable[[Column], Column]:
+    """A column function from one on arrays (rows, *shape); -1 in shape is what the values of a row leave. Null where the values are."""
 
+    @F.pandas_udf("array<double>")
+    def apply(values: pd.Series) -> pd.Series:
+        there = values.notna()
+        rows = [np.asarray(v, np.float64).reshape(shape) for v in values[there]]
+        found = pd.Series([None] * len(values), index=values.index, dtype=object)
+        found[there] = pd.Series([np.asarray(function(r[None])[0]).ravel() for r in rows], index=values[there].index, dtype=object)
+        return found
 
-def last_axes_mean(features: Column) -> Column:
-    """The mean over all axes of a nested array but its first: (channels, height, width) to channels, (tokens, width) to tokens."""
-    return F.transform(features, mean)
+    return lambda column: apply(doubles(column))
 
 
-def flat_mean(features: Column, groups: int) -> Column:
-    """As last_axes_mean, for values laid out in one array of `groups` equal runs."""
-    width = (F.size(features) / groups).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda k: mean(F.slice(features, k * width + 1, width)))
+def mean_pooled(features: Column, shape: Sequence[int]) -> Column:
+    """The mean over all axes of a row's values but the first; shape is that of a row."""
+    return of_shape(arrays.pooled, shape)(features)
 
 
 def channel_normalized(values: Column, means: Sequence[float], stds: Sequence[float]) -> Column:
-    """(x - mean) / std by channel, for one array of equal runs, a run for each channel."""
-    width = F.size(values) / len(means)
-    channel = lambda i: F.floor(i / width).cast("int")
-    means_, stds_ = F.array(*map(F.lit, map(float, means))), F.array(*map(F.lit, map(float, stds)))
-    return F.transform(doubles(values), lambda x, i: (x - F.get(means_, channel(i))) / F.get(stds_, channel(i)))
+    """(x - mean) / std by channel, for values laid out in equal runs, a run for each channel."""
+    return of_shape(lambda x: arrays.channel_normalized(x, means, stds), (len(means), 1, -1))(values)
 
 
-def to_unit_range(values: Column) -> Column:
-    """Bytes 0 to 255 as 0.0 to 1.0."""
-    return F.transform(doubles(values), lambda x: x / 255.0)
+def resized(image: Column, shape: tuple[int, int], to: tuple[int, int], kernel: str) -> Column:
+    """An image of one channel, row after row, in another size: (rows, columns) each."""
+    return of_shape(lambda x: resample.resized(x, *to, kernel), shape)(image)

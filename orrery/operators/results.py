@@ -1,16 +1,19 @@
-"""From ranked matches to results, and their files."""
+"""From ranked matches to results, and their file."""
 
 from __future__ import annotations
 
 import json
-import os
-import uuid
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.shared import shared_folder, ship
+from orrery.sources import files
+
 
 def named(matches: DataFrame, records: DataFrame) -> DataFrame:
     """Flat results: query_ord, query_id, query_file_name, rank, image_id, file_name, cosine_similarity."""
@@ -26,34 +29,29 @@ def nested(flat: DataFrame) -> DataFrame:
     return by_query.select("query_ord", F.col("query_id").alias("image_id"), F.col("query_file_name").alias("file_name"), "matches")
 
 
-def replace_text(path: Path, write: Any) -> None:
-    """path, written by write(file) to a name of its own beside it first and then put in its place."""
-    beside = path.with_name(f"{path.name}.{uuid.uuid4().hex}.tmp")
-    try:
-        with beside.open("w", encoding="utf-8") as file:
-            write(file)
-        os.replace(beside, path)
-    finally:
-        beside.unlink(missing_ok=True)
-
+def write_listed(path: str | Path, header: dict[str, Any], key: str, rows: DataFrame, order: str) -> None:
+    """One JSON document of header and, as a list at key, the rows by the column order (which is left out), as files.write_json() would write it.
 
-def write_json(path: Path, value: Any) -> None:
-    """value as JSON with sorted keys, two spaces deep, and a line feed at its end."""
-    replace_text(path, lambda file: file.write(json.dumps(value, indent=2, sort_keys=True) + "\n"))
+    Tasks write their rows as text, in ranges of the order; Spark commits one attempt of each. Only then are these files
+    put together and take the place of path, so a run that fails leaves what was there, and no row is read by the driver.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    ship(spark)
+    text = json.dumps(header | {key: []}, indent=2, sort_keys=True)
+    before, _, after = text.partition(f'{json.dumps(key)}: []')
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [f"\n{json.dumps(row, indent=2, sort_keys=True)}".replace("\n", "\n    ") for row in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["value"])
 
-def write_results(path: Path, header: dict[str, Any], queries: DataFrame) -> None:
-    """One JSON document of header and `queries`, as write_json() would write it; queries pass through the driver a partition at a time."""
-    text = json.dumps(header | {"queries": []}, indent=2, sort_keys=True)
-    before, _, after = text.partition('"queries": []')
+    try:
+        rows.orderBy(order).drop(order).mapInArrow(lines, "value string").write.option("lineSep", ",").text(folder)
+        files.write_joined(spark, path, f"{before}{json.dumps(key)}: [", folder, ",", "\n  ", f"]{after}\n")
+    finally:
+        files.delete(spark, folder)
 
-    def write(file: Any) -> None:
-        file.write(before + '"queries": [')
-        empty = True
-        for row in queries.orderBy("query_ord").drop("query_ord").toLocalIterator():
-            lines = json.dumps(row.asDict(recursive=True), indent=2, sort_keys=True).splitlines()
-            file.write(("" if empty else ",") + "".join(f"\n    {x}" for x in lines))
-            empty = False
-        file.write(("" if empty else "\n  ") + "]" + after + "\n")
 
-    replace_text(path, write)
+def write_results(path: str | Path, header: dict[str, Any], queries: DataFrame) -> None:
+    """header and `queries` (rows of nested()) as one JSON document."""
+    write_listed(path, header, "queries", queries, "query_ord")

@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.errors import RetrievalError
 from orrery.functions import vectors
 from orrery.shared import ship
 
 #: Rows of a shard and queries of a block at most, about.
 SHARD, BLOCK = 8192, 512
+#: Queries whose scores against all rows may be asked for.
+PAIRED = 64
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -38,10 +41,13 @@ def best(scores: np.ndarray, pos: np.ndarray, own: int, k: int) -> np.ndarray:
 def scored_pairs(features: DataFrame, queries: DataFrame) -> DataFrame:
     """query_ord, query_pos, pos and score of every row against every query but itself: a result of as many rows.
 
-    As expressions, with sums in the order of the elements; top_k() is the way to rank many.
+    As expressions, with sums in the order of the elements, for PAIRED queries at most, which are broadcast; top_k() is
+    the way to rank many.
     """
+    if queries.limit(PAIRED + 1).count() > PAIRED:
+        raise RetrievalError(f"All scores are given for {PAIRED} queries at most; top_k() ranks any number.")
     asked = queries.join(features.select(F.col("pos").alias("query_pos"), F.col("features").alias("asked")), "query_pos")
-    pairs = features.select("pos", "features").join(asked, F.col("pos") != F.col("query_pos"))
+    pairs = features.select("pos", "features").join(F.broadcast(asked), F.col("pos") != F.col("query_pos"))
     return pairs.select("query_ord", "query_pos", "pos", vectors.dot(F.col("features"), F.col("asked")).alias("score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator, Sequence
 
@@ -13,8 +14,8 @@ from orrery.errors import RetrievalError
 from orrery.functions import paths
 from orrery.shared import ship, written
 
-#: Missing files that an error lists.
-LISTED = 5
+#: Missing files that an error lists, and names of a folder that are handed on together.
+LISTED, LISTING = 5, 10_000
 
 
 def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
@@ -45,15 +46,41 @@ def with_paths(records: DataFrame, root: str) -> DataFrame:
     return records.withColumn("path", paths.joined(F.lit(root), F.col("file_name")))
 
 
+def folders_of(records: DataFrame) -> DataFrame:
+    """folder of each folder that records' files should be in, once."""
+    return records.select(F.regexp_extract("path", r"(?s)\A(.*)/", 1).alias("folder")).distinct()
+
+
 def files_of(records: DataFrame) -> DataFrame:
-    """path of each record's file that exists, looked up in the tasks (on a file system that executors share)."""
+    """path of each file in the folders that records' files should be in: one listing for each folder, in the tasks.
+
+    Folders are on this machine, or in a store whose address begins with a scheme that Arrow's file systems know.
+    """
     ship(records.sparkSession)
 
-    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([os.path.isfile(p) for p in batch.column(0).to_pylist()], pa.bool_()))
-
-    return records.select("path").distinct().mapInArrow(there, "path string")
+            for folder in batch.column(0).to_pylist():
+                found = listing(folder)
+                while some := [f"{folder}/{name}" for name in itertools.islice(found, LISTING)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["path"])
+
+    return folders_of(records).mapInArrow(listed, "path string")
+
+
+def listing(folder: str) -> Iterator[str]:
+    """Names of the files in a folder; none if it is not there."""
+    if "://" in folder:
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(folder)
+        yield from (x.base_name for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.is_file)
+        return
+    try:
+        with os.scandir(folder or "/") as found:
+            yield from (x.name for x in found if x.is_file())
+    except (FileNotFoundError, NotADirectoryError):
+        return
 
 
 def missing(records: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:

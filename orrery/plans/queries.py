@@ -7,16 +7,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.errors import ManifestError, RetrievalError
 from orrery.functions import paths, signatures, vectors
-from orrery.operators import results, search, select
+from orrery.operators import embed, order, results, search, select
+from orrery.shared import shared_folder
+from orrery.sources import cache
 from orrery.sources.cache import same_order, well_shaped
-from orrery.sources.manifest import judged, parsed
+from orrery.sources.manifest import checked, judged, parsed, raw_records
 
 STRIDE, K, DIGITS = 100, 10, 6
 ASKED, UNKNOWN = (5, 2, 5, 77), (3, -1, 999999999, 5, -1)
+#: Bytes of a manifest's blocks here, kernels, and the size that 8 by 8 gets.
+MANIFEST_BLOCK, KERNELS, SIZED = 4096, ("box", "bilinear", "bicubic", "lanczos"), (5, 11)
 #: Elements of a manifest, for numbers of pages: three that break no rule, except that the last repeats an id.
 MADE = (
     '{"id": %d, "file_name": "a/b.jpg"}', '{"id": %d, "file_name": "c.jpg", "height": 4}', '{"id": %d.5, "file_name": "a"}', '{"id": "%d", "file_name": "a"}',
@@ -111,8 +117,8 @@ def image_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(signatures.image_signature(manifest(spark, sf_dir)),)], "signature string")
 
 
-def exploded(rows: DataFrame, value: str) -> DataFrame:
-    return rows.select("image_id", F.posexplode(value).alias("i", "x")).select("image_id", F.col("i").cast("long").alias("i"), F.round("x", DIGITS).alias("value"))
+def exploded(rows: DataFrame, value: str, digits: int = DIGITS) -> DataFrame:
+    return rows.select("image_id", F.posexplode(value).alias("i", "x")).select("image_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), digits).alias("value"))
 
 
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +126,11 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(features(spark, sf_dir).withColumn("v", vectors.flat_mean(F.col("features"), 16)), "v")
+    return exploded(features(spark, sf_dir).withColumn("v", vectors.mean_pooled(F.col("features"), (16, 4))), "v")
 
 
 def token_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("features", k * 16 + 1, 16))
-    return exploded(features(spark, sf_dir).withColumn("v", vectors.last_axes_mean(tokens)), "v")
+    return exploded(features(spark, sf_dir).withColumn("v", vectors.mean_pooled(F.col("features"), (4, 16))), "v")
 
 
 def channel_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +162,102 @@ def cache_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(checks, "check string, fits boolean")
 
 
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as a manifest, one JSON file, and read from it again by blocks; some of them break a rule."""
+    pages = manifest(spark, sf_dir).withColumn("file_name", F.when(F.col("pos") % 11 == 3, "a/../b").otherwise(F.col("file_name")))
+    listed = pages.select("pos", F.col("image_id").alias("id"), "file_name", F.array(F.struct(F.lit('"]},{[').alias("x"), F.col("pos").alias("y"))).alias("more"))
+    place = f"{shared_folder(spark)}.json"
+    results.write_listed(place, {"annotations": [{"id": k, "segmentation": [[1.5, k]]} for k in range(50)], "info": {"images": [0]}}, "images", listed, "pos")
+    return judged(raw_records(spark, place, MANIFEST_BLOCK)).select("pos", "image_id", "file_name", F.col("violation").isNull().alias("fine"))
+
+
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What start-up observes of a manifest while its records are written: their number, and an error of the first that breaks a rule."""
+    pages = manifest(spark, sf_dir)
+    rows = []
+    for case, broken in (("fine", F.lit(False)), ("broken", F.col("pos") >= 17), ("none", F.lit(None).cast("boolean"))):
+        named = pages.filter(broken.isNotNull()).select("pos", F.col("image_id").alias("id"), F.when(broken, F.concat(F.lit("/"), F.col("pos").cast("string"))).otherwise(F.col("file_name")).alias("file_name"))
+        place = f"{shared_folder(spark)}.json"
+        results.write_listed(place, {}, "images", named, "pos")
+        try:
+            rows.append((case, checked(spark, place)[1], "none"))
+        except ManifestError as error:
+            rows.append((case, -1, str(error).split(":")[0]))
+    return spark.createDataFrame(rows, "case string, records long, problem string")
+
+
+def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """topk_stride, written as a run writes its results and read from that file."""
+    rows = features(spark, sf_dir)
+    place = f"{shared_folder(spark)}.json"
+    results.write_results(place, {"top_k": K}, results.nested(results.named(search.top_k(rows, select.by_stride(rows, STRIDE), K), rows)))
+    match = "struct<rank: long, image_id: long, file_name: string, cosine_similarity: double>"
+    read = spark.read.schema(f"queries array<struct<image_id: long, file_name: string, matches: array<{match}>>>, top_k long").option("multiLine", True).json(place)
+    flat = read.select(F.posexplode("queries").alias("query_ord", "q")).select(F.col("query_ord").cast("long"), F.col("q.image_id").alias("query_id"), F.explode("q.matches").alias("m"))
+    return flat.select("query_ord", "query_id", "m.rank", "m.image_id", F.round("m.cosine_similarity", DIGITS).alias("score"))
+
+
+def resize_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of 8 by 8, made larger and smaller by each kernel."""
+    rows = features(spark, sf_dir)
+    sized = [F.struct(F.lit(k).alias("kernel"), vectors.resized(F.col("features"), (8, 8), SIZED, k).alias("v")) for k in KERNELS]
+    flat = rows.select("image_id", F.explode(F.array(*sized)).alias("s")).select("image_id", "s.kernel", F.posexplode("s.v").alias("i", "x"))
+    return flat.select("image_id", "kernel", F.col("i").cast("long").alias("i"), F.round("x", DIGITS).alias("value"))
+
+
+def order_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with one change each, and the first position at which they differ from those without it."""
+    rows = features(spark, sf_dir).select("pos", "image_id", "file_name")
+    pos = F.col("pos")
+    cases = {
+        "same": rows,
+        "swapped": rows.withColumn("pos", F.when(pos == 40, 203).when(pos == 203, 40).otherwise(pos)),
+        "renamed": rows.withColumn("file_name", F.when(pos == 57, "other").otherwise(F.col("file_name"))),
+        "last missing": rows.filter(pos < rows.agg(F.max("pos")).scalar()),
+        "repeated": rows.union(rows.filter(pos == 300)),
+        "other id": rows.withColumn("image_id", F.when(pos == 5, -7).otherwise(F.col("image_id"))),
+    }
+    signs, found = order.fingerprint(rows), []
+    for case, other in cases.items():
+        first = order.first_difference(rows, other, fan=16)
+        found.append((case, order.fingerprint(other) == signs, first.pos if first else -1, first.kind if first else "none"))
+    return spark.createDataFrame(found, "case string, equal boolean, pos long, kind string")
+
+
+def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of features says to records and settings that fit, and to others; the second of two generations counts."""
+    rows, folder = features(spark, sf_dir), shared_folder(spark)
+    about = {"model_name": "m", "feature_config_signature": "s"}
+    found = [("none yet", cache.load_cache(spark, folder, rows, about) is None)]
+    cache.save_cache(rows.filter("pos < 10"), folder, about)
+    cache.save_cache(rows, folder, about)
+    cases = {
+        "same": (rows, about), "fewer records": (rows.filter("pos < 10"), about), "renamed": (rows.withColumn("file_name", F.upper("file_name")), about),
+        "other model": (rows, about | {"model_name": "n"}), "other settings": (rows, about | {"feature_config_signature": "t"}),
+    }
+    for case, (records, now) in cases.items():
+        try:
+            found.append((case, cache.load_cache(spark, folder, records, now) is not None))
+        except RetrievalError:
+            found.append((case, False))
+    return spark.createDataFrame(found, "case string, fits boolean")
+
+
+def batch_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as images of three channels, 4 by 5, through a layer of kernels in batches, and pooled."""
+    kernels = np.array([(i * 5) % 7 - 3 for i in range(4 * 27)], float).reshape(4, 3, 3, 3) / 8
+    bias = np.arange(4) / 10
+    layer = embed.Embedder((3, 4, 5), lambda content: np.zeros(60), lambda: lambda batch: np.stack([embed.convolved(x, kernels, bias) for x in batch.astype(float)]))
+    rows = features(spark, sf_dir).select("image_id", F.slice("features", 1, 60).alias("pixels"))
+    return exploded(rows.select("image_id", embed.predicted("pixels", layer, batch_size=7).alias("v")), "v", digits=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         topk_stride, topk_explicit_ids, topk_head_limit, score_all_one_query, query_positions_stride, unknown_query_ids, select_head, missing_preview, duplicate_ids, manifest_rules, unsafe_paths,
         path_join, image_signature, l2_normalize, mean_pool, token_pool, channel_normalize, batch_assignment, run_summary, nested_results, cache_check,
+        manifest_scan, manifest_summary, result_file, resize_kernels, order_differences, cache_generations, batch_inference,
     )
 }
 
@@ -206,5 +302,27 @@ SQL: dict[str, str] = {
     "channel_normalize": f"WITH {_F}, e AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM f) SELECT vec_id AS image_id, i, round(CASE i // 21 WHEN 0 THEN (x - 0.1::DOUBLE) / 0.5::DOUBLE WHEN 1 THEN (x - 0.2::DOUBLE) / 0.25::DOUBLE ELSE (x - 0.3::DOUBLE) / 2.0::DOUBLE END, {DIGITS}) AS value FROM e WHERE i < 63",
     "batch_assignment": f"WITH {_F} SELECT pos, vec_id AS image_id, pos // 64 AS batch FROM f",
     "run_summary": "SELECT count(*) AS indexed, least(count(*), 300) AS selected, max(len(embedding)) AS dimensions FROM embeddings",
+    "manifest_scan": f"WITH {_P} SELECT pos, page_id AS image_id, CASE WHEN pos % 11 = 3 THEN 'a/../b' ELSE url END AS file_name, pos % 11 <> 3 AS fine FROM p",
+    "manifest_summary": "SELECT 'fine' AS \"case\", count(*) AS records, 'none' AS problem FROM pages UNION ALL SELECT 'broken', CASE WHEN count(*) > 17 THEN -1 ELSE count(*) END, CASE WHEN count(*) > 17 THEN 'images[17].file_name must be relative to dataset.root' ELSE 'none' END FROM pages UNION ALL SELECT 'none', -1, 'Manifest contains no image records'",
+    "result_file": _TOPK,
+    "resize_kernels": f"""WITH {_F}, k(kernel, reach) AS (VALUES {", ".join(f"('{k}', {r})" for k, r in (("box", 0.5), ("bilinear", 1.0), ("bicubic", 2.0), ("lanczos", 3.0)))}),
+        a AS (SELECT kernel, CAST(reach AS DOUBLE) AS reach, n, CAST(o AS INTEGER) AS o, (o + 0.5) * 8.0 / n AS middle, greatest(8.0 / n, 1.0)::DOUBLE AS wide FROM k, (SELECT {SIZED[0]} AS n UNION ALL SELECT {SIZED[1]}), generate_series(0, 10) AS t(o) WHERE o < n),
+        b AS (SELECT kernel, n, o, CAST(x AS INTEGER) AS x, (x + 0.5 - middle)::DOUBLE / wide AS d FROM a, generate_series(0, 7) AS t(x) WHERE x >= floor(middle - reach * wide + 0.5) AND x < floor(middle + reach * wide + 0.5)),
+        c AS (SELECT *, CASE kernel WHEN 'box' THEN CASE WHEN d > -0.5 AND d <= 0.5 THEN 1.0 ELSE 0.0 END WHEN 'bilinear' THEN greatest(0.0, 1.0 - abs(d))
+            WHEN 'bicubic' THEN CASE WHEN abs(d) < 1 THEN 1.5 * pow(abs(d), 3) - 2.5 * d * d + 1 WHEN abs(d) < 2 THEN -0.5 * pow(abs(d), 3) + 2.5 * d * d - 4 * abs(d) + 2 ELSE 0.0 END
+            ELSE CASE WHEN d = 0 THEN 1.0 WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0.0 END END::DOUBLE AS h FROM b),
+        w AS (SELECT kernel, n, o, x, h / sum(h) OVER (PARTITION BY kernel, n, o) AS w FROM c),
+        e AS (SELECT vec_id, unnest(v) AS p, generate_subscripts(v, 1) - 1 AS j FROM f),
+        r AS (SELECT vec_id, w.kernel, j // 8 AS y, w.o AS ox, sum(p * w.w) AS p FROM e JOIN w ON w.n = {SIZED[1]} AND w.x = j % 8 GROUP BY ALL)
+        SELECT vec_id AS image_id, r.kernel, CAST(w.o * {SIZED[1]} + r.ox AS BIGINT) AS i, round(sum(r.p * w.w), {DIGITS}) AS value FROM r JOIN w ON w.kernel = r.kernel AND w.n = {SIZED[0]} AND w.x = r.y GROUP BY vec_id, r.kernel, w.o, r.ox""",
+    "order_differences": """WITH n AS (SELECT count(*) AS n FROM embeddings)
+        SELECT * FROM (VALUES ('same', true, -1::BIGINT, 'none'), ('swapped', false, 40, 'moved'), ('renamed', false, 57, 'renamed'), ('repeated', false, 300, 'repeated'), ('other id', false, 5, 'other')) AS t("case", equal, pos, kind)
+        UNION ALL SELECT 'last missing', false, n - 1, 'missing' FROM n""",
+    "cache_generations": "SELECT * FROM (VALUES ('none yet', true), ('same', true), ('fewer records', false), ('renamed', false), ('other model', false), ('other settings', false)) AS t(\"case\", fits)",
+    "batch_inference": f"""WITH {_F}, e AS (SELECT vec_id, unnest(v) AS p, generate_subscripts(v, 1) - 1 AS j FROM f),
+        k AS (SELECT CAST(t.i AS INTEGER) AS i, ((t.i * 5) % 7 - 3) / 8.0::DOUBLE AS w, t.i // 27 AS n, t.i // 9 % 3 AS c, t.i // 3 % 3 AS r, t.i % 3 AS s FROM generate_series(0, 107) AS t(i)),
+        o AS (SELECT a.y, b.x FROM generate_series(0, 1) AS a(y), generate_series(0, 2) AS b(x)),
+        g AS (SELECT vec_id, n, y, x, greatest(sum(p * w) + n / 10.0::DOUBLE, 0) AS z FROM o, k, e WHERE e.j < 60 AND 2 * y + r - 1 BETWEEN 0 AND 3 AND 2 * x + s - 1 BETWEEN 0 AND 4 AND e.j = c * 20 + (2 * y + r - 1) * 5 + 2 * x + s - 1 GROUP BY vec_id, n, y, x)
+        SELECT vec_id AS image_id, CAST(n AS BIGINT) AS i, round(CAST(avg(z) AS FLOAT)::DOUBLE, 4) AS value FROM g GROUP BY vec_id, n""",
     "cache_check": "SELECT * FROM (VALUES ('same', true), ('swapped', false), ('one less', false), ('shape', true), ('shape of one less', false)) AS t(\"check\", fits)",
 }

@@ -102,20 +102,20 @@ def _is_int(value: Any) -> bool:
 
 def text(value: Any, where: str, base: Path) -> str:
     if not isinstance(value, str) or not value.strip():
-        raise ConfigError(f"'{where}' must be a non-empty string.")
+        raise ConfigError(f"'{where}' needs a text, not {value!r}.")
     return value
 
 
 def flag(value: Any, where: str, base: Path) -> bool:
     if not isinstance(value, bool):
-        raise ConfigError(f"'{where}' must be true or false.")
+        raise ConfigError(f"'{where}' is switched by true or false, not {value!r}.")
     return value
 
 
 def at_least(least: int) -> Rule:
     def rule(value: Any, where: str, base: Path) -> int:
         if not _is_int(value) or value < least:
-            raise ConfigError(f"'{where}' must be a {'positive' if least else 'non-negative'} integer.")
+            raise ConfigError(f"'{where}' takes whole numbers from {least} on, not {value!r}.")
         return value
 
     return rule
@@ -128,13 +128,13 @@ def or_null(rule: Rule) -> Rule:
 def numbers(kind: type, count: int, positive: bool = False) -> Rule:
     def rule(value: Any, where: str, base: Path) -> tuple:
         if not isinstance(value, (list, tuple)) or len(value) != count:
-            raise ConfigError(f"'{where}' must contain exactly {count} values.")
+            raise ConfigError(f"'{where}' takes a list of {count} numbers, not {value!r}.")
         try:
             out = tuple(kind(x) for x in value)
         except (TypeError, ValueError, OverflowError) as error:
-            raise ConfigError(f"'{where}' contains a value that is no number: {error}") from error
+            raise ConfigError(f"'{where}' has an entry that is no number: {error}") from error
         if positive and min(out) <= 0:
-            raise ConfigError(f"'{where}' values must be positive.")
+            raise ConfigError(f"'{where}' takes numbers above 0 only, not {value!r}.")
         return out
 
     return rule
@@ -142,7 +142,7 @@ def numbers(kind: type, count: int, positive: bool = False) -> Rule:
 
 def ids(value: Any, where: str, base: Path) -> tuple[int, ...]:
     if not isinstance(value, (list, tuple)) or not all(map(_is_int, value)):
-        raise ConfigError(f"'{where}' must be a list of integers.")
+        raise ConfigError(f"'{where}' takes a list of whole numbers, not {value!r}.")
     return tuple(value)
 
 
@@ -154,7 +154,7 @@ def path(value: Any, where: str, base: Path) -> Path:
 def beneath(value: Any, where: str, base: Path) -> Path:
     found = path(value, where, base)
     if not found.is_relative_to(base):
-        raise ConfigError(f"'{where}' lies outside output.root: {found}")
+        raise ConfigError(f"'{where}' would be {found}, which is not below output.root.")
     return found
 
 
@@ -172,7 +172,7 @@ OUTPUTS = {"feature_cache": beneath, "query_results": beneath, "figures": beneat
 def section(raw: Any, where: str, keys: list[str]) -> dict[str, Any]:
     """raw, if it is a mapping of exactly these keys."""
     if not isinstance(raw, dict):
-        raise ConfigError(f"'{where}' must be a mapping.")
+        raise ConfigError(f"'{where}' needs keys and values.")
     if unknown := sorted(str(k) for k in raw if k not in keys):
         raise ConfigError("Unknown configuration keys: " + ", ".join(f"'{where}.{k}'" for k in unknown))
     if missing := [k for k in keys if k not in raw]:
@@ -202,7 +202,7 @@ def check_outputs(output: OutputConfig) -> None:
 def load_config(config_path: str | Path) -> RunConfig:
     source = Path(config_path).expanduser().resolve()
     if not source.is_file():
-        raise ConfigError(f"Config file does not exist: {source}")
+        raise ConfigError(f"There is no configuration at {source}.")
     try:
         raw = yaml.safe_load(source.read_text(encoding="utf-8"))
     except (yaml.YAMLError, UnicodeDecodeError, OSError) as error:

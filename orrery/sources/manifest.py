@@ -1,47 +1,44 @@
 """Manifests: a JSON object whose list `images` names records by id and file_name.
 
-A manifest may be of any size: it is split once, as a stream in one task, into the elements of its list, and no value
-holds more than one of them. Each element is then judged by itself as VARIANT, which keeps the kinds of values apart,
-so 1.0, true and "1" are no ids. One CASE column names the first rule that a record breaks, and the error of the record
-that comes first is raised. A folder or pattern of JSON-lines files, an element in each line, is read in parallel by
-read_records().
+A manifest may be of any size: all tasks read it, in blocks (see sources.blocks), and no value holds more than one
+element of its list. Each element is then judged by itself as VARIANT, which keeps the kinds of values apart, so 1.0,
+true and "1" are no ids. One CASE column names the first rule that a record breaks, and the error of the record that
+comes first is raised. JSON-lines files, an element in each line, are split by Spark itself.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.errors import ManifestError
 from orrery.functions import paths
-from orrery.shared import ship, written
-from orrery.sources.elements import elements
+from orrery.shared import written
+from orrery.sources.blocks import BLOCK, elements
 
 #: Of a record: its place in the list, id and name.
 RECORDS = "pos long, image_id long, file_name string"
+#: How names of JSON-lines files end.
+LINES = (".jsonl", ".ndjson")
 
 
 def kind(column: str) -> Column:
     return F.schema_of_variant(column)
 
 
-def raw_records(spark: SparkSession, manifest: str) -> DataFrame:
-    """pos and item (variant) of each element of `images`, spread over tasks."""
-    ship(spark)
+def raw_records(spark: SparkSession, manifest: str, block: int = BLOCK) -> DataFrame:
+    """pos and item (variant) of each element of `images`; all tasks read, blocks of the file each."""
     try:
         files = spark.read.format("binaryFile").load(manifest).select("length").take(2)
         if len(files) != 1:
             raise ManifestError(f"Manifest must be one file: {manifest}")
-        start = F.col("_metadata.file_block_start").alias("start")
-        text = spark.read.option("lineSep", "}").text(manifest).select("value", F.octet_length("value").cast("long"), start, F.lit(files[0]["length"] if files else 0).cast("long"))
-        parts = written(text.coalesce(1).mapInArrow(elements, "pos long, item string, problem string"))
-        problem = parts.filter("problem is not null").select("problem").first()
+        found = elements(spark, manifest, files[0]["length"], block)
     except PySparkException as error:
         raise ManifestError(f"Manifest can't be read: {manifest}: {error}") from error
-    if problem:
-        raise ManifestError(f"{problem[0]}: {manifest}")
-    return parsed(parts.filter("pos is not null"))
+    except ManifestError as error:
+        raise ManifestError(f"{error}: {manifest}") from error
+    return parsed(found)
 
 
 def read_records(spark: SparkSession, lines: str) -> DataFrame:
@@ -84,12 +81,23 @@ def judged(items: DataFrame) -> DataFrame:
     return parts.withColumn("nth", nth).select("pos", "image_id", "file_name", violation.alias("violation"))
 
 
-def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
-    """pos, image_id and file_name of the records, all of them valid."""
-    records = judged(raw_records(spark, manifest))
-    found = records.agg(F.count("*").alias("n"), F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("pos"))).alias("first")).first()
-    if found["first"]:
-        raise ManifestError(found["first"])
-    if not found["n"]:
+def checked(spark: SparkSession, manifest: str, root: str | None = None) -> tuple[DataFrame, int]:
+    """pos, image_id, file_name (and with a root, path) of the records, all of them valid, and their number.
+
+    A name that ends as LINES say is of a JSON-lines file. The records are written once, and what is asked of them (their
+    number, the first violation) is observed in the tasks that write them: no further pass reads them.
+    """
+    records = judged(read_records(spark, manifest) if manifest.lower().endswith(LINES) else raw_records(spark, manifest))
+    if root is not None:
+        records = records.withColumn("path", paths.joined(F.lit(root), F.col("file_name")))
+    seen = Observation()
+    kept = written(records.observe(seen, F.count("*").alias("n"), F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("pos"))).alias("first")))
+    if seen.get["first"]:
+        raise ManifestError(seen.get["first"])
+    if not seen.get["n"]:
         raise ManifestError(f"Manifest contains no image records: {manifest}")
-    return records.select("pos", "image_id", "file_name")
+    return kept.drop("violation"), seen.get["n"]
+
+
+def read_manifest(spark: SparkSession, manifest: str) -> DataFrame:
+    return checked(spark, manifest)[0]

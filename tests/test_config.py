@@ -18,21 +18,21 @@ def test_paths_are_resolved(make_run, tmp_path):
 @pytest.mark.parametrize(
     ("change", "message"),
     [
-        ({"output__query_results": "../escaped/results.json"}, "outside output.root"),
+        ({"output__query_results": "../escaped/results.json"}, "not below output.root"),
         ({"dataset__roots": "wrong"}, r"dataset\.roots"),
         ({"output__metadata": "made/query_results"}, "must be unique"),
         ({"output__metadata": "made"}, "must not contain"),
         ({"output__metadata": "."}, "must not be output.root"),
-        ({"experiment__seed": True}, "non-negative"),
-        ({"experiment__name": " "}, "non-empty"),
-        ({"h1__top_k": 0}, "positive"),
-        ({"h1__query_image_ids": [1, True]}, "list of integers"),
+        ({"experiment__seed": True}, "from 0 on"),
+        ({"experiment__name": " "}, "needs a text"),
+        ({"h1__top_k": 0}, "from 1 on"),
+        ({"h1__query_image_ids": [1, True]}, "list of whole numbers"),
         ({"h1__reuse_feature_cache": "yes"}, "true or false"),
-        ({"models__net__std": [1, 0, 1]}, "positive"),
-        ({"models__net__mean": [1, 2]}, "exactly 3"),
+        ({"models__net__std": [1, 0, 1]}, "above 0"),
+        ({"models__net__mean": [1, 2]}, "list of 3 numbers"),
         ({"models__net__image_size": ["a", 2]}, "no number"),
         ({"models__net__image_size": [float("inf"), 2]}, "no number"),
-        ({"dataset__max_images": 0}, "positive"),
+        ({"dataset__max_images": 0}, "from 1 on"),
         ({"models": {}}, "one model"),
     ],
 )
@@ -46,7 +46,7 @@ def test_numbers_are_cast(make_run):
 
 
 def test_missing_file_and_key(make_run, tmp_path):
-    with pytest.raises(ConfigError, match="does not exist"):
+    with pytest.raises(ConfigError, match="no configuration at"):
         load_config(tmp_path / "none.yaml")
     config = make_run()
     config.write_text(config.read_text().replace("seed: 3", ""))

@@ -3,13 +3,14 @@ from __future__ import annotations
 import json
 from pathlib import Path, PurePosixPath, PureWindowsPath
 
-import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orrery.errors import ManifestError
 from orrery.functions import paths
-from orrery.sources import elements
+from orrery.sources import blocks
 from orrery.sources.manifest import judged, read_manifest, read_records
 
 
@@ -53,25 +54,86 @@ def test_violations(spark, tmp_path, images, message):
         read(spark, tmp_path, json.dumps({"images": images}))
 
 
-def test_parts_of_any_cut(monkeypatch):
-    """However the text is cut, elements are those of the JSON library; what it refuses is refused."""
-    monkeypatch.setattr(elements, "AHEAD", 1)
-    good = ['{"a": [1, {"b": "}]"}], "images": [{"id": 12, "file_name": "x}y"}, 5, null, [1], {"id": 1.5e3}], "z": {"q": [{}]}}', '{"images":[]}\n', ' { "images" : [ {} ] } ']
-    bad = ['{"images": [1,]}', '{"images": [1 2]}', '{"images": [1]', '{"images": [NaN]}', '{"images": [1]} x', '{"images" [1]}', '{"images": [1]}}', '{1: 2}', "", '{"images": [{"id": 1]}}']
-
-    def run(text):
-        size, parts = len(text.encode()), text.split("}")
-        if parts[-1] == "":
-            parts.pop()
-        batch = pa.RecordBatch.from_arrays([pa.array(parts, pa.string()), pa.array([len(p.encode()) for p in parts]), pa.array([0] * len(parts)), pa.array([size] * len(parts))], names=list("abcd"))
-        return pa.Table.from_batches(elements.elements(iter([batch] if parts else []))).to_pylist()
-
-    for text in good:
-        want = [{k: x[k] for k in ("id", "file_name") if k in x} if isinstance(x, dict) else 0 for x in json.loads(text)["images"]]
-        assert [json.loads(r["item"]) for r in run(text)] == [w if w != {"id": 1500.0} else {"id": 0.5} for w in want]
-    for text in bad:
-        assert run(text)[-1]["problem"] == "Manifest is not valid JSON", text
-    assert "a list 'images'" in run('{"images": 3}')[-1]["problem"] and "more than one" in run('{"images": [], "images": [1]}')[-1]["problem"]
+GOOD = [
+    '{"a": [1, {"b": "}]"}], "images": [{"id": 12, "file_name": "x}y"}, 5, null, [1], {"id": 1.5e3}], "z": {"q": [{}], "r": "[,"}}', '{"images":[]}\n', ' { "images" : [ {} ] } ', '{"images": 3, "images": [1]}',
+    '{"k": "\\\\", "l\\"}": ["\\\\\\"", "{"], "images": [{"id": 1, "file_name": "\\\\\\"}é,"}, {"file_name": "\\u007d", "x": [[{"y": "]"}]]}], "m": {}, "n": [[], {}]}',
+]
+BAD = [
+    '{"images": [1,]}', '{"images": [1 2]}', '{"images": [1]', '{"images": [NaN]}', '{"images": [1]} x', '{"images" [1]}', '{"images": [1]}}', '{1: 2}', "", '{"images": [{"id": 1]}}', '{"images": [1}]', '{"images": [,1]}',
+    '{"images": [1], "a": {"b"}}', '{"images": [1], "a": {"b": 1,}}', '{"images": [1], "a": {"b": 1 "c": 2}}', '{"images": [1], "a": {1, 2}}', '{"images": ["a]}', '{"images": [1], "a": [{]}]}', '{"images": [\\]}', '{"images": [1],}', '{"images": ["\t"]}', ']}{[',
+    '{"images": [{"id": 1, "file_name": "\\ud800"}]}',
+]
+
+
+def items_of(parts: list[bytes]) -> list[str] | str:
+    """What the parts of a text give when each is scanned by itself, and the sums before them are added up."""
+    switches = depth = openings = commas = 0
+    known, skeleton = [], b""
+    for part in parts:
+        inside = switches % 2 == 1
+        block = blocks.Block.at(part, inside, depth)
+        known.append((block, depth, openings, commas))
+        skeleton += block.skeleton()
+        quotes, if_outside, if_inside = blocks.speculated(part)
+        switches, depth = switches + quotes, depth + (if_inside if inside else if_outside)
+        openings, commas = openings + int(block.opening.sum()), commas + int(block.comma.sum())
+    pieces: dict[tuple[int, int], bytes] = {}
+    for block, *before in known:
+        for container, number, _, text in block.pieces(*before):
+            pieces[container, number] = pieces.get((container, number), b"") + text
+    try:
+        kinds, images = blocks.containers_of(skeleton)
+        found = [(c, blocks.content_of(text, kinds[c - 1])) for (c, _), text in sorted(pieces.items())]
+        return [blocks.record_of(v[0]) for c, v in found if c == images and v]
+    except (ManifestError, ValueError) as error:
+        return str(error)
+
+
+def wanted(text: str) -> list[dict | int]:
+    short = lambda x: {k: 0.5 if isinstance(x[k], float) else x[k] for k in ("id", "file_name") if k in x} if isinstance(x, dict) else 0
+    return [short(x) for x in json.loads(text)["images"]]
+
+
+def cuts(text: bytes) -> list[list[bytes]]:
+    """The text in two parts, cut at every byte after which no escape is pending, and in as many parts as there are such bytes."""
+    fine = [k for k in range(1, len(text)) if (len(text[:k]) - len(text[:k].rstrip(b"\\"))) % 2 == 0]
+    return [[text], *([text[:k], text[k:]] for k in fine), [text[a:b] for a, b in zip([0, *fine], [*fine, len(text)], strict=True)]]
+
+
+def test_blocks_cut_at_every_byte():
+    for text in GOOD:
+        for parts in cuts(text.encode()):
+            assert [json.loads(x) for x in items_of(parts)] == wanted(text), parts
+    for text in BAD:
+        for parts in cuts(text.encode()):
+            assert isinstance(items_of(parts), str), parts
+    for text, message in (('{"images": 3}', "a list 'images'"), ('{"images": [], "images": 3}', "a list 'images'"), ('{"images": [], "images": [1]}', "more than one"), ('[{"images": []}]', "a list 'images'")):
+        assert all(message in items_of(parts) for parts in cuts(text.encode()))
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=6), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text('{}[],:"\\\\ab', max_size=4), x, max_size=4), max_leaves=20), st.data())
+@settings(max_examples=150, deadline=None)
+def test_any_json(value, data):
+    text = json.dumps({"before": value, "images": [value, {"id": 7, "file_name": "{,", "other": value}], "after": value}, ensure_ascii=False, indent=data.draw(st.sampled_from([None, 1])))
+    every = cuts(text.encode())
+    for parts in (every[0], every[-1], data.draw(st.sampled_from(every))):
+        assert [json.loads(x) for x in items_of(parts)] == wanted(text)
+
+
+@pytest.mark.parametrize("block", [1, 20, 1 << 20])
+def test_blocks_in_tasks(spark, tmp_path, block):
+    file = tmp_path / "m.json"
+    file.write_text(GOOD[0])
+    assert [json.loads(r["item"]) for r in blocks.elements(spark, f"file://{file}", file.stat().st_size, block).orderBy("pos").collect()] == wanted(GOOD[0])
+    for text in (BAD[1], BAD[8], BAD[12], BAD[-1]):
+        file.write_text(text)
+        with pytest.raises(ManifestError, match="not valid JSON"):
+            blocks.elements(spark, f"file://{file}", file.stat().st_size, block)
+
+
+def test_a_byte_order_mark_and_lines_after_the_end(spark, tmp_path):
+    for text in ("\ufeff" + '{"images": [{"id": 1, "file_name": "a"}]}', "\ufeff" + '{"images": [{"id": 1, "file_name": "a"}]}\n\n', '{"images": [{"id": 1, "file_name": "a"}]}\n \n'):
+        assert read(spark, tmp_path, text) == [(0, 1, "a")]
 
 
 def test_a_manifest_of_150_megabytes(spark, tmp_path):
@@ -80,6 +142,7 @@ def test_a_manifest_of_150_megabytes(spark, tmp_path):
         out.write('{"annotations": [' + ",".join(f'{{"id": {k}, "segmentation": [[{k}.5, {"1.25, " * 50} 3]]}}' for k in range(n)) + '], "images": [')
         out.write(",".join(f'{{"height": 4, "id": {k}, "file_name": "d/{k}.jpg"}}' for k in range(n)) + "]}")
     assert file.stat().st_size > 150e6
+    assert blocks.blocks_of(spark, f"file://{file}", file.stat().st_size, blocks.BLOCK)[0].select("start").distinct().count() >= 4  # so many tasks read it
     got = read_manifest(spark, f"file://{file}")
     assert got.filter("pos = image_id AND file_name = concat('d/', pos, '.jpg')").count() == n
 
@@ -99,6 +162,11 @@ def test_other_shapes(spark, tmp_path, text):
         read_manifest(spark, f"file://{tmp_path}/none.json")
 
 
+def test_a_name_tells_lines_from_one_object(spark, tmp_path):
+    (tmp_path / "m.jsonl").write_text('{"id": 3, "file_name": "x"}\n{"id": 4, "file_name": "y"}\n')
+    assert [tuple(r) for r in read_manifest(spark, f"file://{tmp_path}/m.jsonl").orderBy("pos").collect()] == [(0, 3, "x"), (1, 4, "y")]
+
+
 def test_paths_as_pathlib_has_them(spark):
     from itertools import product
 

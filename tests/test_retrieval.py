@@ -2,18 +2,22 @@ from __future__ import annotations
 
 import hashlib
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from orrery.cli import main
 from orrery.errors import RetrievalError, StartupError
-from orrery.functions import signatures, vectors
-from orrery.operators import embed, results, search, select
+from orrery.functions import arrays, signatures, vectors
+from orrery.operators import embed, order, results, search, select
 from orrery.plans.retrieval import run_retrieval
 from orrery.plans.startup import summary, validate_startup
-from orrery.sources import cache
+from orrery.sources import cache, files
 from orrery.sources.config import load_config
 
 ROWS = "pos long, image_id long, file_name string, features array<float>"
@@ -82,21 +86,34 @@ def test_missing_files_preview(spark):
     assert "more" not in str(few.value)
 
 
+def test_one_listing_for_each_folder(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"d{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{k % 3}" / (f"_{k}" if k % 2 else f".{k}")).touch()
+    (tmp_path / "d0/folder").mkdir()
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        names = [*(f"d{k % 3}/{'_' if k % 2 else '.'}{k}" for k in range(300)), "d0/folder", "d0/none", "gone/1", "d0/.0/inner"]
+        records = spark.createDataFrame([(k, f"{root}/{n}") for k, n in enumerate(names)], "pos long, path string")
+        assert select.folders_of(records).count() == 5
+        assert [r["pos"] for r in select.missing(records, select.files_of(records)).orderBy("pos").collect()] == [300, 301, 302, 303]
+    with pytest.raises(RetrievalError, match="64 queries"):
+        search.scored_pairs(rows_of(spark, np.eye(70)), select.by_stride(rows_of(spark, np.eye(70)), 1))
+
+
 def test_vectors(spark):
     df = rows_of(spark, [[3, 4, 0, 0], [0, 0, 0, 0], [1, 1, 1, 1]])
     unit = [r[0] for r in df.orderBy("pos").select(vectors.l2_normalized(F.col("features"))).collect()]
     assert unit == [[0.6, 0.8, 0, 0], [0, 0, 0, 0], [0.5] * 4]
     grid = np.arange(24, dtype=float).reshape(2, 3, 2, 2)
-    assert np.allclose(embed.pooled(grid), grid.mean(axis=(2, 3)))
+    assert np.allclose(arrays.pooled(grid), grid.mean(axis=(2, 3)))
     tokens = np.arange(40, dtype=float).reshape(2, 4, 5)
-    assert np.allclose(embed.pooled(tokens), tokens.mean(axis=2))
-    nested = spark.createDataFrame([(tokens[1].tolist(),)], "t array<array<double>>").select(vectors.last_axes_mean(F.col("t"))).first()[0]
-    assert np.allclose(nested, tokens[1].mean(axis=1))
+    assert np.allclose(arrays.pooled(tokens), tokens.mean(axis=2))
     with pytest.raises(RetrievalError, match="two axes"):
-        embed.pooled(np.zeros(3))
+        arrays.pooled(np.zeros(3))
+    flat = spark.createDataFrame([(tokens[1].ravel().tolist(),), (None,)], "t array<double>")
+    assert [r[0] for r in flat.select(vectors.mean_pooled(F.col("t"), (4, 5))).collect()] == [tokens[1].mean(axis=1).tolist(), None]
     channels = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "x array<double>").select(vectors.channel_normalized(F.col("x"), (1, 2, 3), (1, 2, 4))).first()[0]
     assert channels == [0, 1, 0.5, 1, 0.5, 0.75]
-    assert spark.createDataFrame([([0, 255],)], "x array<int>").select(vectors.to_unit_range(F.col("x"))).first()[0] == [0.0, 1.0]
     with pytest.raises(RetrievalError, match="bicubic"):
         embed.interpolation("cubic")
 
@@ -109,32 +126,84 @@ def test_signature(spark, monkeypatch):
 
 def test_cache_checks(spark, tmp_path):
     rows = rows_of(spark, [[1, 2], [3, 4], [5, 6]])
-    about = {"image_signature": "s", "model_name": "m", "feature_config_signature": "f"}
+    about = {"model_name": "m", "feature_config_signature": "f"}
     folder = tmp_path / "cache"
     assert cache.load_cache(spark, folder, rows, about) is None
     cache.save_cache(rows, folder, about)
     assert cache.load_cache(spark, folder, rows, about).count() == 3
-    for key, message in (("image_signature", "image names"), ("model_name", "another model"), ("feature_config_signature", "other settings")):
+    for key, message in (("model_name", "another model"), ("feature_config_signature", "other settings")):
         with pytest.raises(RetrievalError, match=message):
             cache.load_cache(spark, folder, rows, about | {key: "x"})
-    for other in (rows.filter("pos < 2"), rows.withColumn("pos", 2 - F.col("pos"))):
-        with pytest.raises(RetrievalError, match="does not match"):
+    with pytest.raises(RetrievalError, match="image names.*position 1"):
+        cache.load_cache(spark, folder, rows.withColumn("file_name", F.when(F.col("pos") == 1, "x").otherwise(F.col("file_name"))), about)
+    for other, where in ((rows.filter("pos < 2"), "position 2"), (rows.withColumn("pos", 2 - F.col("pos")), "position 0")):
+        with pytest.raises(RetrievalError, match=f"does not match.*{where}"):
             cache.load_cache(spark, folder, other, about)
     cache.save_cache(rows.withColumn("features", F.when(F.col("pos") == 1, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("features"))), folder, about)
     with pytest.raises(RetrievalError, match="different lengths"):
         cache.load_cache(spark, folder, rows, about)
-    (folder / cache.ABOUT).write_text("{")
+    (folder / "about-000000000002.json").write_text("{")
     with pytest.raises(RetrievalError, match="can't be read"):
         cache.load_cache(spark, folder, rows, about)
 
 
+def test_two_writers_of_a_cache(spark, tmp_path, monkeypatch):
+    """The second comes while the first is about to take its number; a reader that began before keeps its rows."""
+    about = {"model_name": "m", "feature_config_signature": "f"}
+    old, one, two = (rows_of(spark, [[k, 2], [3, 4]]) for k in (1, 7, 9))
+    folder = tmp_path / "cache"
+    cache.save_cache(old, folder, about)
+    before = cache.load_cache(spark, folder, old, about)
+    put, other = files.put_new, []
+
+    def later(*given):
+        if not other:
+            other.append(1)
+            cache.save_cache(two, folder, about)
+        return put(*given)
+
+    monkeypatch.setattr(files, "put_new", later)
+    made = cache.save_cache(one, folder, about)
+    assert cache.numbers(spark, folder) == [2, 3]  # both got one; the last counts
+    assert sorted(r["features"][0] for r in cache.load_cache(spark, folder, one, about).collect()) == [3, 7] == sorted(r["features"][0] for r in made.collect())
+    assert len([n for n in files.names(spark, folder) if n.startswith("vectors-")]) == 2
+    monkeypatch.setattr(files, "put_new", put)
+    assert before is not None and not (folder / "about-000000000001.json").exists()
+
+
+def test_a_reader_keeps_its_generation_while_another_is_written(spark, tmp_path):
+    about = {"model_name": "m", "feature_config_signature": "f"}
+    rows = rows_of(spark, [[1, 2], [3, 4]])
+    cache.save_cache(rows, tmp_path / "c", about)
+    before = cache.load_cache(spark, tmp_path / "c", rows, about)
+    cache.save_cache(rows_of(spark, [[5, 2], [6, 4]]), tmp_path / "c", about)
+    assert sorted(r["features"][0] for r in before.collect()) == [1, 3]
+    assert sorted(r["features"][0] for r in cache.load_cache(spark, tmp_path / "c", rows, about).collect()) == [5, 6]
+
+
+def test_fingerprints_tell_changes_apart(spark):
+    rows = rows_of(spark, np.zeros((3000, 1))).drop("features")
+    signs, pos = order.fingerprint(rows), F.col("pos")
+    assert order.fingerprint(rows.repartition(7)) == signs and order.first_difference(rows, rows.repartition(3)) is None
+    changed = {
+        ("moved", 17): rows.withColumn("pos", F.when(pos == 17, 2900).when(pos == 2900, 17).otherwise(pos)), ("renamed", 2999): rows.withColumn("file_name", F.when(pos == 2999, "y").otherwise(F.col("file_name"))),
+        ("missing", 0): rows.filter("pos > 0"), ("repeated", 1024): rows.union(rows.filter("pos = 1024")), ("added", 3000): rows.union(rows.filter("pos = 1").withColumn("pos", F.lit(3000).cast("long"))),
+        ("other", 5): rows.withColumn("image_id", F.when(pos == 5, -1).otherwise(F.col("image_id"))),
+    }
+    for (kind, where), other in changed.items():
+        found = order.first_difference(rows, other, fan=16)
+        assert order.fingerprint(other) != signs and (found.kind, found.pos) == (kind, where), kind
+    assert order.fingerprint(changed["renamed", 2999])["ids"] == signs["ids"]
+    assert order.first_difference(rows.limit(0), rows.limit(0)) is None and order.first_difference(rows.limit(0), rows.filter("pos = 0")).kind == "added"
+
+
 def test_startup(spark, make_run, tmp_path):
     started = validate_startup(spark, load_config(make_run()))
     assert (tmp_path / "out").is_dir() and started.sample.endswith("1.jpg") and "1 indexed, 1 selected" in summary(started)
     (tmp_path / "data/one/two/1.jpg").unlink()
-    with pytest.raises(StartupError, match="No image referenced"):
+    with pytest.raises(StartupError, match="none of the files"):
         validate_startup(spark, load_config(tmp_path / "config.yaml"))
-    with pytest.raises(StartupError, match=r"(?s)models\.net\.checkpoint.*absent\.pth.*cuda|cuda"):
+    with pytest.raises(StartupError, match=r"(?s)3 of 6 .*models\.net\.checkpoint.*absent\.pth.*cuda"):
         validate_startup(spark, load_config(make_run(models__net__checkpoint="absent.pth", experiment__device="cuda:999999")))
     with pytest.raises(StartupError, match="experiment.device must be"):
         validate_startup(spark, load_config(make_run(experiment__device="tpu")))
@@ -179,3 +248,59 @@ def test_empty_results_file(spark, tmp_path):
     flat = spark.createDataFrame([], "query_ord long, query_id long, query_file_name string, rank int, image_id long, file_name string, cosine_similarity double")
     results.write_results(tmp_path / "r.json", {"top_k": 1}, results.nested(flat))
     assert json.loads((tmp_path / "r.json").read_text()) == {"queries": [], "top_k": 1}
+
+
+RETRIED = """
+import sys
+from pathlib import Path
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from orrery.operators import results
+
+folder = Path(sys.argv[1])
+spark = SparkSession.builder.master("local[2,3]").config(map={"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{folder}/shared"}).getOrCreate()
+
+
+def once(batches):
+    for batch in batches:
+        yield batch
+        if not (mark := folder / f"failed-{TaskContext.get().partitionId()}").exists():
+            mark.touch()
+            raise RuntimeError("the first attempt fails after it gave its rows")
+
+
+rows = spark.range(0, 500, 1, 3).select("id", F.concat(F.lit("n"), "id").alias("name")).mapInArrow(once, "id long, name string")
+results.write_listed(folder / "out.json", {"a": 1, "z": [2]}, "rows", rows.withColumn("ord", F.col("id")), "ord")
+spark.stop()
+"""
+
+
+def test_a_task_that_fails_once_leaves_one_right_file(tmp_path):
+    subprocess.run([sys.executable, "-c", RETRIED, str(tmp_path)], check=True, cwd=Path(__file__).parent.parent, capture_output=True, timeout=300)
+    assert list(tmp_path.glob("failed-*"))
+    want = {"a": 1, "rows": [{"id": k, "name": f"n{k}"} for k in range(500)], "z": [2]}
+    assert (tmp_path / "out.json").read_text() == json.dumps(want, indent=2, sort_keys=True) + "\n"
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("out")) == ["out.json"]
+
+
+def test_a_run_that_fails_leaves_what_was_there(spark, tmp_path):
+    (tmp_path / "r.json").write_text("before")
+    bad = spark.range(3).select(F.col("id").alias("ord"), F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).otherwise("x").alias("v"))
+    with pytest.raises(PySparkException):
+        results.write_listed(tmp_path / "r.json", {}, "rows", bad, "ord")
+    assert (tmp_path / "r.json").read_text() == "before" and [p.name for p in tmp_path.iterdir()] == ["r.json"]
+
+
+def test_files_of_a_store_that_only_spark_reads(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.kept.link./in", f"file://{tmp_path}")
+    top = "viewfs://kept/in"
+    files.write_json(spark, f"{top}/a/b.json", {"k": 1})
+    files.write_json(spark, f"{top}/a/b.json", {"k": 2})
+    assert json.loads(files.read_text(spark, f"{top}/a/b.json")) == {"k": 2} and files.names(spark, f"{top}/a") == ["b.json"]
+    assert files.put_new(spark, f"{top}/a/c", "x") and not files.put_new(spark, f"{top}/a/c", "y") and files.read_text(spark, f"{top}/a/c") == "x"
+    results.write_listed(f"{top}/l.json", {"n": 1}, "rows", spark.range(20).withColumn("o", 20 - F.col("id")), "o")
+    assert [r["id"] for r in json.loads((tmp_path / "l.json").read_text())["rows"]] == list(range(19, -1, -1))
+    rows, about = rows_of(spark, [[1, 2], [3, 4]]), {"model_name": "m", "feature_config_signature": "f"}
+    cache.save_cache(rows, f"{top}/cache", about)
+    assert cache.load_cache(spark, f"{top}/cache", rows, about).count() == 2
