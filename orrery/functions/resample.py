@@ -71,6 +71,10 @@ def resized(images: np.ndarray, height: int, width: int, name: str) -> np.ndarra
     return weights(images.shape[-2], height, name) @ across
 
 
+#: What a sum of weighted bytes may be wrong by.
+ERROR = 1e-7
+
+
 def to_bytes(values: np.ndarray) -> np.ndarray:
-    """Values as bytes: the nearest (halves up) from 0 to 255."""
-    return np.clip(np.floor(values + 0.5), 0, 255).astype(np.uint8)
+    """Values as bytes: the nearest from 0 to 255, halves up, also where a sum falls short of one by its rounding."""
+    return np.clip(np.floor(values + 0.5 + ERROR), 0, 255).astype(np.uint8)

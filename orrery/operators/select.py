@@ -70,15 +70,15 @@ def files_of(records: DataFrame) -> DataFrame:
 
 def listing(folder: str) -> Iterator[str]:
     """Names of the files in a folder; none if it is not there."""
-    if "://" in folder:
-        from pyarrow import fs
-
-        store, place = fs.FileSystem.from_uri(folder)
-        yield from (x.base_name for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.is_file)
-        return
     try:
-        with os.scandir(folder or "/") as found:
-            yield from (x.name for x in found if x.is_file())
+        if "://" in folder:
+            from pyarrow import fs
+
+            store, place = fs.FileSystem.from_uri(folder)
+            yield from (x.base_name for x in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.is_file)
+        else:
+            with os.scandir(folder or "/") as found:
+                yield from (x.name for x in found if x.is_file())
     except (FileNotFoundError, NotADirectoryError):
         return
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.errors import ManifestError, RetrievalError
 from orrery.functions import paths, signatures, vectors
 from orrery.operators import embed, order, results, search, select
-from orrery.shared import shared_folder
+from orrery.shared import shared_folder, written
 from orrery.sources import cache
 from orrery.sources.cache import same_order, well_shaped
 from orrery.sources.manifest import checked, judged, parsed, raw_records
@@ -207,7 +207,7 @@ def resize_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with one change each, and the first position at which they differ from those without it."""
-    rows = features(spark, sf_dir).select("pos", "image_id", "file_name")
+    rows = written(features(spark, sf_dir).select("pos", "image_id", "file_name"))
     pos = F.col("pos")
     cases = {
         "same": rows,
@@ -219,14 +219,14 @@ def order_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     signs, found = order.fingerprint(rows), []
     for case, other in cases.items():
-        first = order.first_difference(rows, other, fan=16)
+        first = order.first_difference(rows, other)
         found.append((case, order.fingerprint(other) == signs, first.pos if first else -1, first.kind if first else "none"))
     return spark.createDataFrame(found, "case string, equal boolean, pos long, kind string")
 
 
 def cache_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a cache of features says to records and settings that fit, and to others; the second of two generations counts."""
-    rows, folder = features(spark, sf_dir), shared_folder(spark)
+    rows, folder = written(features(spark, sf_dir)), shared_folder(spark)
     about = {"model_name": "m", "feature_config_signature": "s"}
     found = [("none yet", cache.load_cache(spark, folder, rows, about) is None)]
     cache.save_cache(rows.filter("pos < 10"), folder, about)

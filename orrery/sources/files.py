@@ -65,12 +65,10 @@ def read_text(spark: SparkSession, path: str | Path) -> str:
 
 def replace(spark: SparkSession, beside: str, path: str | Path) -> None:
     """Puts a file in place of path, whether or not there is one, in one step."""
-    system, source = _opened(spark, beside)
-    target = spark._jvm.org.apache.hadoop.fs.Path(uri(path))
-    if local(path):
-        if not system.rename(source, target):
-            raise OSError(f"Can't be written: {path}")
+    if here := local(path):
+        os.replace(local(beside), here)
         return
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(uri(p)) for p in (beside, path))
     kinds = spark._jvm.org.apache.hadoop.fs.Options.Rename
     how = spark.sparkContext._gateway.new_array(kinds, 1)
     how[0] = kinds.OVERWRITE

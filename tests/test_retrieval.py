@@ -203,7 +203,7 @@ def test_startup(spark, make_run, tmp_path):
     (tmp_path / "data/one/two/1.jpg").unlink()
     with pytest.raises(StartupError, match="none of the files"):
         validate_startup(spark, load_config(tmp_path / "config.yaml"))
-    with pytest.raises(StartupError, match=r"(?s)3 of 6 .*models\.net\.checkpoint.*absent\.pth.*cuda"):
+    with pytest.raises(StartupError, match=r"(?s)2 of 6 .*models\.net\.checkpoint.*absent\.pth.*cuda"):
         validate_startup(spark, load_config(make_run(models__net__checkpoint="absent.pth", experiment__device="cuda:999999")))
     with pytest.raises(StartupError, match="experiment.device must be"):
         validate_startup(spark, load_config(make_run(experiment__device="tpu")))
