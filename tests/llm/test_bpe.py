@@ -24,6 +24,14 @@ def test_as_the_library_does(spark, make_docs):
     assert bpe.encoded(make_docs([]), PATH).count() == 0
 
 
+def test_null_ids_and_repeated_rows(spark, make_docs):
+    texts, ids = ["a b", "a b", "a b", None, None, "don't"], [None, 4, 4, None, None, 4]
+    known = Tokenizer.from_file(PATH)
+    got = bpe.encoded(make_docs(texts, ids), PATH).collect()
+    want = [(i, t, known.encode(t or "", add_special_tokens=False).ids) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(((r["row"]["doc_id"], r["row"]["text"], r["ids"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_bytes_that_are_no_text_are_replaced(spark):
     df = spark.createDataFrame([(1, [0, 1, 50256]), (2, [160]), (3, None), (4, [])], "n int, ids array<int>")
     known = Tokenizer.from_file(PATH)
