@@ -2,6 +2,12 @@
 
 Each stage takes all documents that the one before it kept, as a DataFrame with the columns of `documents`; the last
 one returns the packed pieces. Between stages the rows are written to the shared folder and read again.
+
+Cases, in all stages: a null or empty text fails the quality rules, so it goes in the first stage; given to a later one
+it has no words, is linked with nothing, loses nothing and is one piece of one token. Rows repeated with their id go or
+stay together until near_dup, of whose groups the rows of the smallest id stay; a null id is in no label and no trusted
+set, and among near duplicates gives way to any other. Columns besides text and n_chars pass through every stage but
+the last; n_chars is counted anew where a passage is removed, and stays null where it was. No documents give no pieces.
 """
 
 from __future__ import annotations

@@ -260,14 +260,14 @@ def elements(spark: SparkSession, file: str, size: int, block: int = BLOCK) -> D
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [judged(c, text) for c, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [judged(c, b"".join(parts)) for c, parts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.string()) for k in (0, 1))], names=["container", "number", "item", "problem"])
 
     counted = with_sums_before(outlines.select("start", "k", "inside", "depth", "n_openings", "n_commas"), openings=F.col("n_openings"), commas=F.col("n_commas"))
     found = written(joined(blocks, counted.select("start", "k", "inside", "depth", "openings", "commas"), few).mapInArrow(cut, kept))
     fragments = found.filter("part IS NOT NULL").groupBy("container", "number").agg(F.array_sort(F.collect_list(F.struct("start", "k", "part"))).alias("parts"))
-    glued = fragments.select("container", "number", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["part"])).alias("part"))
-    pieces = found.filter("part IS NULL").select("container", "number", "item", "problem").union(glued.mapInArrow(whole, "container long, number long, item string, problem string"))
+    glued = fragments.select("container", "number", F.transform("parts", lambda x: x["part"])).mapInArrow(whole, "container long, number long, item string, problem string")
+    pieces = found.filter("part IS NULL").select("container", "number", "item", "problem").union(glued)
     seen = Observation()
     pieces = written(pieces.observe(seen, F.max("problem").alias("problem"), F.min(F.when(F.col("item").isNotNull(), F.col("number"))).alias("first")))
     if seen.get["problem"]:

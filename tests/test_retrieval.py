@@ -31,14 +31,14 @@ def found(df):
     return [(r["query_ord"], r["rank"], r["pos"]) for r in df.orderBy("query_ord", "rank").collect()]
 
 
-@pytest.mark.parametrize("shard", [3, 8192])
-def test_top_k_against_brute_force(spark, shard):
+@pytest.mark.parametrize(("shard", "resident"), [(3, 4), (8192, None), (8192, 1), (1, 100)])
+def test_top_k_against_brute_force(spark, shard, resident):
     rng = np.random.default_rng(1)
     x = rng.integers(-3, 4, (40, 4)).astype(float)  # many ties
     x[7] = x[8] = x[9]
     rows = rows_of(spark, x)
     queries = select.by_stride(rows, 3)
-    got = found(search.top_k(rows, queries, 5, shard=shard, block=4))
+    got = found(search.top_k(rows, queries, 5, shard=shard, resident=resident))
     want = []
     for q in range(0, 40, 3):
         order = sorted((p for p in range(40) if p != q), key=lambda p: (-float(x[p] @ x[q]), p))
@@ -53,6 +53,34 @@ def test_nan_first_then_infinity(spark):
     assert [p for _, _, p in found(search.top_k(rows_of(spark, x), spark.createDataFrame([(0, 0)], "query_ord long, query_pos long"), 9))] == [2, 3, 1, 4, 5]
 
 
+def test_equal_vectors_have_equal_scores(spark):
+    """Copies of vectors, whose scores a matrix product may round each in its own way, rank by position."""
+    x = np.random.default_rng(6).normal(size=(7, 33)).astype(np.float32)
+    rows = rows_of(spark, [x[k % 7] for k in range(500)])
+    got: dict[int, list[int]] = {}
+    for q, _, p in found(search.top_k(rows, select.by_stride(rows, 50), 60, shard=90)):
+        got.setdefault(q, []).append(p)
+    for q, pos in got.items():
+        assert pos == [p for p in range((50 * q) % 7, 500, 7) if p != 50 * q][:60]
+
+
+def test_best_in_steps(monkeypatch):
+    monkeypatch.setattr(search, "STEP", 7)
+    rng = np.random.default_rng(2)
+    rows, asked = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(-2, 3, (20, 3)).astype(float)
+    rows[5], rows[6, 0], asked[3, 1] = np.nan, np.inf, np.nan
+    best = search.Best(20, 9)
+    for start in range(0, 300, 50):
+        search.compare(best, asked, np.arange(20), rows[start : start + 50], np.arange(start, min(300, start + 50)))
+        best.ranked()
+    query, pos, score = best.ranked()
+    with np.errstate(invalid="ignore"):
+        s = (rows[None] * asked[:, None]).sum(axis=2)
+    key = lambda q, p: (not np.isnan(s[q, p]), 0 if np.isnan(s[q, p]) else -s[q, p], p)
+    want = [(q, p) for q in range(20) for p in sorted((p for p in range(300) if p != q), key=lambda p, q=q: key(q, p))[:9]]
+    assert list(zip(query.tolist(), pos.tolist(), strict=True)) == want and np.array_equal(score, s[query, pos], equal_nan=True)
+
+
 def test_k_is_less_than_rows(spark):
     rows = rows_of(spark, [[1, 0], [2, 0]])
     assert found(search.top_k(rows, select.by_stride(rows, 1), 10)) == [(0, 1, 1), (1, 1, 0)]
