@@ -7,13 +7,11 @@ of signature values are bucket keys.
 
 In each bucket the class with the least key is the pivot, and every member forms a pair with it (never members among
 themselves). Pairs whose signatures agree too seldom for the similarity (4.5 standard deviations below it) go; each
-class's most similar pivot is confirmed on full sets. What is still unconnected is linked in rounds. In each bucket that
-holds several components, the members outside its largest one are compared by their signatures with all of its members,
-in blocks of bounded size; each tells the ids of its WIDTH most similar likely partners in other components, no sets,
-and a pair is told only in the first of the buckets it shares.
-The pairs of all buckets together, each once, are joined to their full sets and confirmed, and components are joined.
-Buckets in which a member had more likely partners than it told take part in the next round, with eight times the width,
-so no link between components is given up, and no round yields more than a few rows for each member.
+class's most similar pivot is confirmed on full sets. In each bucket that still holds several components, the members
+outside its largest one meet all of its members, in blocks that are bounded by members and by bytes of their sets. Only
+pairs of different components that share no earlier bucket, whose sizes allow the similarity and whose signatures do not
+rule it out are confirmed, on their full sets, where they meet; a link joins two components there, so a block tells no
+more links than it has members, however many of them are alike. No pair that shares a band is given up.
 
 With 38 bands of 6 values a pair of similarity 0.8 shares no band with probability 1e-5, one of 0.9 with 1e-13.
 
@@ -39,10 +37,10 @@ from .common import WordHashes, carried, mapped, mixed, odd_numbers, slices, wri
 BANDS, ROWS = 38, 6
 #: Standard deviations below the similarity at which a pair's signatures rule it out.
 DEVIATIONS = 4.5
-#: Members of a bucket that one task compares with as many others, about.
-BLOCK = 2048
-#: Likely partners that a member tells in the first round at most; each further round allows eight times as many.
-WIDTH = 16
+#: Members of a bucket that one task compares with as many others, about, and bytes of their shingles.
+BLOCK, UNIT = 2048, 1 << 23
+#: Members whose full sets are confirmed at once.
+TRIED = 64
 #: Bytes of texts whose sets are held at once.
 SPAN = 1 << 21
 #: Shingles that go through a permutation at once.
@@ -195,44 +193,61 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
 
 
-def partners(buckets: DataFrame, labels: DataFrame, sigs: DataFrame, least: float, width: int, block: int) -> DataFrame:
-    """key, a, b: for each member of a bucket outside its largest component, its `width` most similar likely partners in other components there, of those that it shares no earlier bucket with.
+def partners(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, least: float, block: int, span: int = UNIT) -> DataFrame:
+    """a, b: links between members of a bucket that are in different components, as many as connect all those that are linked there.
 
-    Further columns: more, whether it has others.
+    classes: class, sig, keys and shingles. Members outside of a bucket's largest component are compared with all of its
+    members, in blocks of `block` members and `span` bytes of shingles, about. Signatures and sizes leave pairs out, full
+    sets confirm the others, and what a link has joined is not compared again: a block tells no more links than it has members.
     """
     named = buckets.join(labels, buckets["class"] == labels["node"], "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
-    parts = parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.max("n").alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    blocks = lambda n: F.ceil(n / block).cast("int")
-    parts = parts.select("key", "main", blocks(F.col("members")).alias("columns"), blocks(F.col("members") - F.col("most")).alias("rows"))
-    members = named.join(parts, "key").join(sigs, "class")
+    named = named.join(classes.select(F.col("class").alias("of"), F.size("shingles").cast("long").alias("n_shingles")), F.col("class") == F.col("of")).drop("of")
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).groupBy("key")
+    parts = parts.agg(F.max_by(F.struct("component", "n", "shingles"), F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.sum("shingles").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / block), F.ceil(8 * shingles / span)).cast("int")
+    parts = parts.select("key", F.col("main.component").alias("main"), blocks(F.col("members"), F.col("total")).alias("columns"), blocks(F.col("members") - F.col("main.n"), F.col("total") - F.col("main.shingles")).alias("rows"))
+    members = named.join(parts, "key").join(classes, "class")
     mine = lambda n: F.pmod(F.xxhash64("class", "key"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    asked = members.select("key", each(F.col("rows")).alias("y"), mine(F.col("columns")).alias("x"), F.lit(False).alias("asks"), "class", "component", "sig", "keys")
-    asking = members.filter("component <> main").select("key", mine(F.col("rows")).alias("y"), each(F.col("columns")).alias("x"), F.lit(True).alias("asks"), "class", "component", "sig", "keys")
+    carries = ("class", "component", "sig", "keys", "shingles")
+    asked = members.select("key", each(F.col("rows")).alias("y"), mine(F.col("columns")).alias("x"), F.lit(False).alias("asks"), *carries)
+    asking = members.filter("component <> main").select("key", mine(F.col("rows")).alias("y"), each(F.col("columns")).alias("x"), F.lit(True).alias("asks"), *carries)
 
     def compare(group: pa.Table) -> pa.Table:
         asks, classes, parts = (group[c].to_numpy(zero_copy_only=False) for c in ("asks", "class", "component"))
         sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(group.num_rows, -1)
         keys = group["keys"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        lists = group["shingles"].combine_chunks()
+        values, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+        starts, sizes = np.concatenate([[0], ends[:-1]]), lists.value_lengths().to_numpy().astype(np.int64)
+        parts = np.unique(parts, return_inverse=True)[1]
         there, here = np.nonzero(~asks)[0], group["key"][0].as_py()
-        a, b, more = [], [], []
+        a, b = [], []
         for k in np.nonzero(asks)[0]:
             others = there[parts[there] != parts[k]]
+            others = others[100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])]
             others = others[keys[k, (keys[others] == keys[k]).argmax(axis=1)] == here]  # a pair counts in its first common bucket
-            alike = (sig[others] == sig[k]).mean(axis=1)
-            order = np.lexsort((classes[others], -alike))
-            order = order[: np.count_nonzero(alike >= least)]
-            for o in others[order[:width]]:
-                a.append(min(classes[k], classes[o]))
-                b.append(max(classes[k], classes[o]))
-                more.append(len(order) > width)
-        return pa.table({"key": pa.array([group["key"][0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
-
-    return asked.union(asking).groupBy("key", "y", "x").applyInArrow(compare, "key long, a long, b long, more boolean")
-
-
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, width: int = WIDTH) -> DataFrame:
+            others = others[(sig[others] == sig[k]).mean(axis=1) >= least]
+            own = np.sort(values[starts[k] : ends[k]])
+            for at in range(0, len(others), TRIED):
+                some = others[at : at + TRIED]
+                some = some[parts[some] != parts[k]]
+                if not len(some):
+                    continue
+                theirs = np.concatenate([values[starts[o] : ends[o]] for o in some])
+                found = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
+                for o in some[100 * both >= percent * (sizes[some] + sizes[k] - both)]:
+                    if parts[o] != parts[k]:
+                        a.append(min(classes[k], classes[o]))
+                        b.append(max(classes[k], classes[o]))
+                        parts[parts == parts[o]] = parts[k]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return asked.union(asking).groupBy("key", "y", "x").applyInArrow(compare, "a long, b long")
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """row, n_shingles, component_id (the smallest id reachable by links) and kept (whether that is the row's) of every document."""
     names = list(dict.fromkeys([*(keep or docs.columns), id_col]))
     base = written(signed(docs, text_col, names, size, bands, rows).withColumn("id", F.col(f"row.`{id_col}`")))
@@ -261,21 +276,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     sets = written(sets.join(buckets.select("class").distinct(), "class", "left_semi"))
 
     best = Window.partitionBy("b").orderBy(F.desc("alike"), "a")
-    judged = written(pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b"))
+    judged = pairs.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("a", "b")
     links = written(confirmed(judged, sets, percent))
-    labels, left = components(links), buckets
-    while True:
-        told = written(partners(left, labels, sigs.select("class", "sig", "keys"), least, width, block))
-        new = written(told.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            judged = judged.union(new)
-            links = written(confirmed(new, sets, percent))
-            if not links.isEmpty():
-                labels = joined(labels, links)
-        more = told.filter("more").select("key")
-        if more.isEmpty():
-            break
-        left, width = buckets.join(more.distinct(), "key", "left_semi"), 8 * width
+    labels = components(links)
+    more = written(partners(buckets.select("key", "class"), labels, sigs.select("class", "sig", "keys").join(sets, "class"), percent, least, block).distinct())
+    if not more.isEmpty():
+        labels = joined(labels, more)
 
     ids = sigs.select("class", "id").join(labels, F.col("class") == F.col("node"), "left").select("class", "id", F.coalesce("component", "class").alias("component"))
     first = ids.groupBy("component").agg(F.min("id").alias("component_id"))

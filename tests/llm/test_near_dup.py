@@ -53,12 +53,12 @@ def texts():
     return [*ODD, *base, *near, *base, *chain, *passage, *["Copy of one TEXT"] * 30, "copy OF one text", "ONE"]
 
 
-@pytest.mark.parametrize(("size", "block", "width"), [(2, 2048, 16), (5, 2048, 16), (2, 4, 1)])
-def test_against_brute_force(spark, make_docs, size, block, width):
+@pytest.mark.parametrize(("size", "block"), [(2, 2048), (5, 2048), (2, 4)])
+def test_against_brute_force(spark, make_docs, size, block):
     all_texts = texts()
     ids = list(range(len(all_texts)))
     random.Random(5).shuffle(ids)
-    got = near_dup.linked(make_docs(all_texts, ids), size=size, block=block, width=width).collect()
+    got = near_dup.linked(make_docs(all_texts, ids), size=size, block=block).collect()
     found = sorted((r["row"]["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got)
     assert found == sorted(brute(all_texts, ids, size))
 
@@ -77,19 +77,38 @@ def test_empty(spark, make_docs):
     assert [r["kept"] for r in near_dup.linked(make_docs([None, ""])).collect()] == [True, True]
 
 
-def test_a_bucket_of_many_members(spark):
-    rng, n, values = np.random.default_rng(3), 20_000, 228
+@pytest.mark.parametrize("span", [1 << 23, 1 << 16])
+def test_a_bucket_of_many_members(spark, span):
+    """Members of a large bucket outside of its component: some are linked with one of it, some with each other, most are alike but not linked."""
+    rng, n, values = np.random.default_rng(3), 6000, 228
     sig = rng.integers(0, 1 << 16, (n, values)).astype(np.uint16)
-    minor = list(range(n - 12, n))
-    for k, c in enumerate(minor):  # each is like two members: one of the large component, one of its own kind
-        sig[c] = sig[17 * k]
-        sig[c, : 10 + k] = 1
-    sigs = spark.createDataFrame([(c, sig[c].tobytes(), [c, 7, c]) for c in range(n)], "class long, sig binary, keys array<long>")
-    labels = spark.range(n - 12).selectExpr("id AS node", "0L AS component")
+    sets = [rng.choice(10**9, 40, replace=False) for _ in range(n)]
+    minor = list(range(n - 300, n))
+    for c in minor[:12]:  # each is like a member of the large component
+        sig[c], sets[c] = sig[17 * c % 5000], np.concatenate([sets[17 * c % 5000][:38], [c, c + n]])
+    for c in minor[12:]:  # alike by their signatures; in their sets only those of one number
+        sig[c] = 7
+        sig[c, :10] = c
+        sets[c] = np.concatenate([np.arange(25), 10**6 + 100 * (c // 8) + np.arange(15)])
+    schema = "class long, sig binary, keys array<long>, shingles array<long>"
+    classes = spark.createDataFrame([(c, sig[c].tobytes(), [c, 7, c], sets[c].tolist()) for c in range(n)], schema)
+    labels = spark.range(n - 300).selectExpr("id AS node", "0L AS component")
     buckets = spark.range(n).selectExpr("id AS class", "7L AS key")
-    got = near_dup.partners(buckets, labels, sigs, 0.68, 4, 2048).select("a", "b").distinct().collect()
-    like = {(min(a, b), max(a, b)) for b in minor for a in range(n) if a != b and (sig[a] == sig[b]).mean() >= 0.68}
-    assert {(r["a"], r["b"]) for r in got} == like and len(like) >= 12
+    got = near_dup.partners(buckets, labels, classes, 80, 0.68, 2048, span).collect()
+    assert len(got) <= len(minor) * (3 if span > 1 << 20 else 60)  # so many blocks of columns
+    top = {c: 0 if c < n - 300 else c for c in range(n)}
+
+    def root(c):
+        while top[c] != c:
+            c = top[c]
+        return c
+
+    for r in got:
+        assert 100 * len(set(sets[r["a"]]) & set(sets[r["b"]])) >= 80 * len(set(sets[r["a"]]) | set(sets[r["b"]]))
+        x, y = sorted((root(r["a"]), root(r["b"])))
+        top[y] = x
+    assert all(root(c) == 0 for c in minor[:12])
+    assert all((root(c) == root(d)) == (c // 8 == d // 8) for c in minor[12:] for d in minor[12:])
 
 
 def test_long_texts(spark, make_docs):
