@@ -266,7 +266,7 @@ def elements(spark: SparkSession, file: str, size: int, block: int = BLOCK) -> D
     counted = with_sums_before(outlines.select("start", "k", "inside", "depth", "n_openings", "n_commas"), openings=F.col("n_openings"), commas=F.col("n_commas"))
     found = written(joined(blocks, counted.select("start", "k", "inside", "depth", "openings", "commas"), few).mapInArrow(cut, kept))
     fragments = found.filter("part IS NOT NULL").groupBy("container", "number").agg(F.array_sort(F.collect_list(F.struct("start", "k", "part"))).alias("parts"))
-    glued = fragments.select("container", "number", F.transform("parts", lambda x: x["part"])).mapInArrow(whole, "container long, number long, item string, problem string")
+    glued = fragments.select("container", "number", F.transform("parts", lambda x: x["part"]).alias("parts")).mapInArrow(whole, "container long, number long, item string, problem string")
     pieces = found.filter("part IS NULL").select("container", "number", "item", "problem").union(glued)
     seen = Observation()
     pieces = written(pieces.observe(seen, F.max("problem").alias("problem"), F.min(F.when(F.col("item").isNotNull(), F.col("number"))).alias("first")))
