@@ -6,6 +6,7 @@ embeddings stand in for features (id vec_id), pages for a manifest (id page_id,
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from pyspark.sql import functions as F
 from orrery.errors import ManifestError, RetrievalError
 from orrery.functions import paths, signatures, vectors
 from orrery.operators import embed, order, results, search, select
+from orrery.plans.startup import Started, summary
 from orrery.shared import shared_folder, written
 from orrery.sources import cache
 from orrery.sources.cache import same_order, well_shaped
+from orrery.sources.config import DatasetConfig, ModelConfig, OutputConfig, QueryConfig, RunConfig
 from orrery.sources.manifest import checked, judged, parsed, raw_records
 
 STRIDE, K, DIGITS = 100, 10, 6
@@ -175,10 +178,10 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What start-up observes of a manifest while its records are written: their number, and an error of the first that breaks a rule."""
     pages = manifest(spark, sf_dir)
     rows = []
-    for case, broken in (("fine", F.lit(False)), ("broken", F.col("pos") >= 17), ("none", F.lit(None).cast("boolean"))):
+    for case, key, broken in (("fine", "images", F.lit(False)), ("broken", "images", F.col("pos") >= 17), ("none", "images", F.lit(None).cast("boolean")), ("no list", "pictures", F.lit(False))):
         named = pages.filter(broken.isNotNull()).select("pos", F.col("image_id").alias("id"), F.when(broken, F.concat(F.lit("/"), F.col("pos").cast("string"))).otherwise(F.col("file_name")).alias("file_name"))
         place = f"{shared_folder(spark)}.json"
-        results.write_listed(place, {}, "images", named, "pos")
+        results.write_listed(place, {}, key, named, "pos")
         try:
             rows.append((case, checked(spark, place)[1], "none"))
         except ManifestError as error:
@@ -186,6 +189,31 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "case string, records long, problem string")
 
 
+def summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that a run prints of what it found, for pages as a manifest."""
+    place = f"{shared_folder(spark)}.json"
+    results.write_listed(place, {}, "images", manifest(spark, sf_dir).select("pos", F.col("image_id").alias("id"), "file_name"), "pos")
+    records, indexed = checked(spark, place, "/data")
+    model = ModelConfig(Path("/model.bin"), "net", (8, 8), (0, 0, 0), (1, 1, 1), "box", "avg", 1, 0, False, "bfloat16", True)
+    output = OutputConfig(*(Path("/out") / k for k in ("", "cache", "results", "figures", "cases", "metadata")))
+    config = RunConfig(Path("/run.yaml"), "trial", 0, "cpu", DatasetConfig(Path("/data"), Path("/data/list.json"), 100), model, "m", QueryConfig((), 1, 1, False), output)
+    sample = records.agg(F.min_by("path", "pos").alias("path")).first()["path"]
+    lines = summary(Started(config, records, indexed, sample)).splitlines()[1:]
+    return spark.createDataFrame([tuple(line.strip().split(": ", 1)) for line in lines], "line string, value string")
+
+
+def selection_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the first so many records are enough for a search."""
+    rows, found = features(spark, sf_dir), []
+    for n in (0, 1, 2, None):
+        try:
+            select.require_two(select.head(rows, n))
+            found.append((str(n), True))
+        except RetrievalError:
+            found.append((str(n), False))
+    return spark.createDataFrame(found, "records string, enough boolean")
+
+
 def result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topk_stride, written as a run writes its results and read from that file."""
     rows = features(spark, sf_dir)
@@ -257,7 +285,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         topk_stride, topk_explicit_ids, topk_head_limit, score_all_one_query, query_positions_stride, unknown_query_ids, select_head, missing_preview, duplicate_ids, manifest_rules, unsafe_paths,
         path_join, image_signature, l2_normalize, mean_pool, token_pool, channel_normalize, batch_assignment, run_summary, nested_results, cache_check,
-        manifest_scan, manifest_summary, result_file, resize_kernels, order_differences, cache_generations, batch_inference,
+        manifest_scan, manifest_summary, summary_text, selection_checks, result_file, resize_kernels, order_differences, cache_generations, batch_inference,
     )
 }
 
@@ -303,7 +331,12 @@ SQL: dict[str, str] = {
     "batch_assignment": f"WITH {_F} SELECT pos, vec_id AS image_id, pos // 64 AS batch FROM f",
     "run_summary": "SELECT count(*) AS indexed, least(count(*), 300) AS selected, max(len(embedding)) AS dimensions FROM embeddings",
     "manifest_scan": f"WITH {_P} SELECT pos, page_id AS image_id, CASE WHEN pos % 11 = 3 THEN 'a/../b' ELSE url END AS file_name, pos % 11 <> 3 AS fine FROM p",
-    "manifest_summary": "SELECT 'fine' AS \"case\", count(*) AS records, 'none' AS problem FROM pages UNION ALL SELECT 'broken', CASE WHEN count(*) > 17 THEN -1 ELSE count(*) END, CASE WHEN count(*) > 17 THEN 'images[17].file_name must be relative to dataset.root' ELSE 'none' END FROM pages UNION ALL SELECT 'none', -1, 'Manifest contains no image records'",
+    "manifest_summary": "SELECT 'fine' AS \"case\", count(*) AS records, 'none' AS problem FROM pages UNION ALL SELECT 'broken', CASE WHEN count(*) > 17 THEN -1 ELSE count(*) END, CASE WHEN count(*) > 17 THEN 'images[17].file_name must be relative to dataset.root' ELSE 'none' END FROM pages UNION ALL SELECT 'none', -1, 'Manifest contains no image records' UNION ALL SELECT 'no list', -1, 'Manifest must be an object with a list ''images'''",
+    "summary_text": f"""WITH {_P}, n AS (SELECT count(*) AS n FROM p)
+        SELECT * FROM (VALUES ('name', 'trial'), ('dataset', '/data'), ('annotation', '/data/list.json'), ('model', 'net'), ('checkpoint', '/model.bin'), ('device', 'cpu'), ('output', '/out')) AS t(line, value)
+        UNION ALL SELECT 'images', n || ' indexed, ' || least(n, 100) || ' selected' FROM n
+        UNION ALL SELECT 'sample', regexp_replace(regexp_replace('/data/' || url, '/(\\.?/)+', '/', 'g'), '(/\\.?)+$', '') FROM p WHERE pos = 0""",
+    "selection_checks": "SELECT records, least(k, n) >= 2 AS enough FROM (VALUES ('0', 0), ('1', 1), ('2', 2), ('None', 1000000000)) AS t(records, k), (SELECT count(*) AS n FROM embeddings)",
     "result_file": _TOPK,
     "resize_kernels": f"""WITH {_F}, k(kernel, reach) AS (VALUES {", ".join(f"('{k}', {r})" for k, r in (("box", 0.5), ("bilinear", 1.0), ("bicubic", 2.0), ("lanczos", 3.0)))}),
         a AS (SELECT kernel, CAST(reach AS DOUBLE) AS reach, n, CAST(o AS INTEGER) AS o, (o + 0.5) * 8.0 / n AS middle, greatest(8.0 / n, 1.0)::DOUBLE AS wide FROM k, (SELECT {SIZED[0]} AS n UNION ALL SELECT {SIZED[1]}), generate_series(0, 10) AS t(o) WHERE o < n),
