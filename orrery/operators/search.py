@@ -26,8 +26,8 @@ from orrery.shared import ship
 
 #: Rows of a band at least, and bytes of queries that a task keeps.
 SHARD, RESIDENT = 8192, 1 << 26
-#: Rows, and queries, of one matrix product.
-STEP = 2048
+#: Rows of one matrix product, which has an eighth as many queries, and bytes of the vectors of pairs that are summed again at once.
+STEP, PAIR_BYTES = 2048, 1 << 22
 #: Queries whose scores against all rows may be asked for.
 PAIRED = 64
 
@@ -70,14 +70,16 @@ def compare(best: Best, asked: np.ndarray, own: np.ndarray, rows: np.ndarray, po
     """Adds to best what of these rows may be among the k best of the queries asked."""
     with np.errstate(invalid="ignore", over="ignore"):
         reach = 4 * rows.shape[1] * np.finfo(float).eps * np.sqrt((rows * rows).sum(axis=1).max(initial=0))
-        for start in range(0, len(asked), STEP):
-            some = asked[start : start + STEP]
+        step, pairs = max(1, STEP // 8), max(1, PAIR_BYTES // (8 * max(1, rows.shape[1])))
+        for start in range(0, len(asked), step):
+            some = asked[start : start + step]
             slack = reach * np.sqrt((some * some).sum(axis=1))
-            able = ~(some @ rows.T < (best.least[start : start + STEP] - slack)[:, None])  # NaN stays
-            able &= own[start : start + STEP, None] != pos
+            able = ~(some @ rows.T < (best.least[start : start + step] - slack)[:, None])  # NaN stays
             query, row = np.nonzero(able)
-            for at in range(0, len(query), 1 << 18):
-                q, r = query[at : at + (1 << 18)], row[at : at + (1 << 18)]
+            other = own[start + query] != pos[row]
+            query, row = query[other], row[other]
+            for at in range(0, len(query), pairs):
+                q, r = query[at : at + pairs], row[at : at + pairs]
                 best.add(start + q, pos[r], (some[q] * rows[r]).sum(axis=1))
 
 

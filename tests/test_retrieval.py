@@ -4,6 +4,7 @@ import hashlib
 import json
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -81,6 +82,23 @@ def test_best_in_steps(monkeypatch):
     assert list(zip(query.tolist(), pos.tolist(), strict=True)) == want and np.array_equal(score, s[query, pos], equal_nan=True)
 
 
+@pytest.mark.parametrize(("n", "size"), [(64, 128), (16, 1024), (2048, 4)])
+def test_memory_of_a_comparison(n, size):
+    """Neither more queries nor longer vectors make what a comparison holds besides its input larger."""
+    rng = np.random.default_rng(3)
+    rows, asked = rng.normal(size=(2048, size)), rng.normal(size=(n, size))
+    best = search.Best(n, 9)
+    tracemalloc.start()
+    search.compare(best, asked, np.arange(n), rows, np.arange(2048))
+    query, pos, score = best.ranked()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    for q in range(0, n, 61):
+        want = np.argsort(np.where(np.arange(2048) == q, np.inf, -(asked[q] * rows).sum(axis=1)), kind="stable")[:9]
+        assert pos[query == q].tolist() == want.tolist() and np.array_equal(score[query == q], (asked[q] * rows[want]).sum(axis=1))
+
+
 def test_k_is_less_than_rows(spark):
     rows = rows_of(spark, [[1, 0], [2, 0]])
     assert found(search.top_k(rows, select.by_stride(rows, 1), 10)) == [(0, 1, 1), (1, 1, 0)]
@@ -280,6 +298,7 @@ def test_empty_results_file(spark, tmp_path):
 
 RETRIED = """
 import sys
+import tracemalloc
 from pathlib import Path
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
