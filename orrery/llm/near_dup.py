@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, carried, mapped, mixed, odd_numbers, slices, written
+from .common import SPACE, WordHashes, carried, mapped, mixed, odd_numbers, pieces, slices, written
 
 #: Bands, and signature values of each. Half of the bands hold least values, half largest ones.
 BANDS, ROWS = 38, 6
@@ -43,8 +43,8 @@ BLOCK, UNIT = 2048, 1 << 23
 TRIED = 64
 #: Bytes of texts whose sets are held at once.
 SPAN = 1 << 21
-#: Shingles that go through a permutation at once.
-STEP = 1 << 15
+#: Shingles that go through a permutation at once, and that are hashed at once.
+STEP, PART = 1 << 15, 1 << 17
 
 
 def shingle_sets(texts: list[bytes | None], size: int, known: WordHashes) -> list[np.ndarray]:
@@ -52,15 +52,20 @@ def shingle_sets(texts: list[bytes | None], size: int, known: WordHashes) -> lis
     weights = odd_numbers(size, size)
     out = []
     for text in texts:
-        words = (text or b"").lower().split()
-        codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = max(1, len(words) - size + 1) if words else 0
-        if len(words) < size:
-            codes = np.concatenate([codes, np.full(size - len(words), size, np.uint64)])  # no word has such a code but by chance
-        sums = np.zeros(n, np.uint64)
-        for k in range(size if n else 0):
-            sums += codes[k : k + n] * weights[k]
-        out.append(np.unique(mixed(sums)))
+        parts = (piece.lower().split() for piece in pieces(text or b"", SPAN, SPACE))
+        codes = np.concatenate([np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words)) for words in parts])
+        n_words = len(codes)
+        n = max(1, n_words - size + 1) if n_words else 0
+        if n_words < size:
+            codes = np.concatenate([codes, np.full(size - n_words, size, np.uint64)])  # no word has such a code but by chance
+        hashes = np.empty(n, np.uint64)
+        for at in range(0, n, PART):
+            part = np.zeros(min(PART, n - at), np.uint64)
+            for k in range(size):
+                part += codes[at + k : at + k + len(part)] * weights[k]
+            hashes[at : at + len(part)] = mixed(part)
+        hashes.sort()
+        out.append(hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if n else hashes)
     return out
 
 
@@ -119,7 +124,10 @@ def signed(docs: DataFrame, text_col: str, keep: list[str] | None, size: int, ba
 
 def class_of(shingles: np.ndarray) -> tuple[int, int]:
     """Two numbers of 64 bits that tell one set from another: each of its size and a sum of its hashes."""
-    sums = np.array([shingles.sum(dtype=np.uint64), mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
+    sums = np.zeros(2, np.uint64)
+    for at in range(0, len(shingles), PART):
+        part = shingles[at : at + PART]
+        sums += np.array([part.sum(dtype=np.uint64), mixed(part ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)])
     one, two = mixed(sums + np.uint64(len(shingles))).view(np.int64).tolist()
     return one, two
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, mapped, written
+from .common import LINE_END, SPACE, carried, mapped, pieces, written
 
 #: Labelled documents that are fitted at most: those with the smallest hashes of their id.
 SAMPLE = 2000
@@ -42,34 +42,51 @@ SHAPE_WEIGHT = 0.2
 DIGITS = 9
 #: Score that a document of good quality has at least.
 LEAST = 0.3
+#: Bytes of one text that are counted at once, about. Besides these its distinct words and lines are held.
+SPAN = 1 << 18
 #: Documents whose products are computed at once, and terms of the sample that are held at once while it is fitted.
 BLOCK, FIT_TERMS = 256, 512
 #: The decomposition: dimensions besides RANK that are carried along, and rounds at most.
 SPARE, ROUNDS = 32, 200
 
 
-def shape(words: list[bytes], text: bytes) -> list[float]:
-    """Shares that tell ordered prose from junk."""
-    n = len(words) or 1
-    lines = text.split(b"\n")
-    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
-    capitals = sum(map(bytes.isupper, words)) / n
-    plain = sum(map(bytes.isalnum, words)) / n
-    bare = sum(1 for w in words if not w.strip(SIGNS)) / n
-    return [again, 1 - len(set(words)) / n, 1 - len(set(lines)) / (len(lines) or 1), capitals, 1 - plain, bare]
-
-
-def terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def shape(text: bytes, span: int = SPAN) -> list[float]:
+    """Shares that tell ordered prose from junk; the text has a word."""
+    n = again = capitals = plain = bare = 0
+    last, distinct, lines = None, set(), set()
+    for piece in pieces(text, span, SPACE):
+        words = piece.split()
+        n += len(words)
+        again += sum(a == b for a, b in zip(words, words[1:], strict=False)) + (words[:1] == [last])
+        capitals += sum(map(bytes.isupper, words))
+        plain += sum(map(bytes.isalnum, words))
+        bare += sum(1 for w in words if not w.strip(SIGNS))
+        distinct.update(words)
+        last = words[-1] if words else last
+    for piece in pieces(text, span, LINE_END):
+        lines.update(piece.split(b"\n"))
+    return [again / n, 1 - len(distinct) / n, 1 - len(lines) / (text.count(b"\n") + 1), capitals / n, 1 - plain / n, bare / n]
+
+
+def pair_counts(text: bytes, span: int = SPAN) -> np.ndarray:
+    """How often each pair of bytes occurs."""
+    counts = np.zeros(0, np.int64)
+    for start in range(0, max(1, len(text) - 1), span):
+        raw = np.frombuffer(text[start : start + span + 1], np.uint8).astype(np.int64)
+        part = np.bincount(raw[:-1] << 8 | raw[1:], minlength=PAIRS)
+        counts = counts + part if start else part
+    return counts
+
+
+def terms(text: bytes | None, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Terms of a text and their counts; the counts of pairs of bytes are square roots of shares."""
     text = text or b""
-    raw = np.frombuffer(text, np.uint8).astype(np.int64)
-    words = text.split()
-    if not words:
+    if not text or text.isspace():
         return np.zeros(0, np.int64), np.zeros(0)
-    counts = np.bincount(raw[:-1] << 8 | raw[1:], minlength=PAIRS)
+    counts = pair_counts(text, span)
     pairs = np.nonzero(counts)[0]
     counts = counts[pairs]
-    shares = np.array(shape(words, text))
+    shares = np.array(shape(text, span))
     steps = np.nonzero(np.arange(STEPS) <= shares[:, None] * (STEPS - 1) + 0.5)  # near shares have most steps in common
     return np.concatenate([pairs, PAIRS + steps[0] * STEPS + steps[1]]), np.concatenate([np.sqrt(counts / max(1, counts.sum())), np.full(len(steps[0]), SHAPE_WEIGHT)])
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -138,3 +139,27 @@ def test_signatures_estimate_similarity():
     true = len(np.intersect1d(*mixed)) / len(np.union1d(*mixed))
     assert abs((sig[0] == sig[1]).mean() - true) < 0.1
     assert sig.shape == (2, near_dup.BANDS * near_dup.ROWS)
+
+
+def test_sets_of_a_long_text_take_little_memory():
+    text = " ".join(prose(k, 1000) for k in range(2500)).encode()
+    tracemalloc.start()
+    try:
+        one = near_dup.shingle_sets([text], 5, WordHashes())[0]
+        near_dup.class_of(one)
+        assert len(text) > 8_000_000 and tracemalloc.get_traced_memory()[1] < 9 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize(("span", "part"), [(1, 1), (5, 3), (60, 1000)])
+def test_sets_by_spans(monkeypatch, span, part):
+    texts = [t and t.encode()[:3000] for t in ODD]
+    whole = near_dup.shingle_sets(texts, 3, WordHashes())
+    names = [near_dup.class_of(s) for s in whole]
+    monkeypatch.setattr(near_dup, "SPAN", span)
+    monkeypatch.setattr(near_dup, "PART", part)
+    got = near_dup.shingle_sets(texts, 3, WordHashes())
+    assert all(map(np.array_equal, got, whole)) and [near_dup.class_of(s) for s in got] == names
+    words = [(t or b"").lower().split() for t in texts]
+    assert [len(s) for s in got] == [len({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}) if w else 0 for w in words]

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import os
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -157,3 +159,37 @@ def test_leading_vectors(n, terms, rank):
     assert np.allclose(squares, sizes[:rank] ** 2)
     assert np.allclose(vectors.T @ vectors, np.eye(len(squares)))
     assert np.abs(x @ x.T @ vectors - vectors * squares).max() <= 1e-3 * squares[0]
+
+
+def peak(f, *args) -> int:
+    """Bytes that f takes at most besides what there was before."""
+    tracemalloc.start()
+    try:
+        f(*args)
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_terms_of_a_long_text_take_little_memory():
+    """A text's bytes and words are not all held as numbers and objects at once."""
+    text = "\n".join(prose(k, 1000) for k in range(1300)).encode()
+    assert len(text) > 4_000_000 and peak(quality_classifier.terms, text) < 6 * len(text)
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 7, 50])
+def test_terms_by_spans(span):
+    rng = random.Random(span)
+    texts = [t.encode() for t in ODD if t] + [bytes(rng.choice(b"aAb#|\n\t \x0b\x0c\r\xc3\xa9\x1c") for _ in range(rng.randrange(80))) for _ in range(300)]
+    for text in texts:
+        words, lines = text.split(), text.split(b"\n")
+        at, values = quality_classifier.terms(text, span)
+        if not words:
+            assert len(at) == len(values) == 0
+            continue
+        pairs = Counter(a << 8 | b for a, b in zip(text, text[1:], strict=False))
+        known = at < quality_classifier.PAIRS
+        assert dict(zip(at[known].tolist(), values[known].tolist(), strict=True)) == pytest.approx({p: (n / (len(text) - 1)) ** 0.5 for p, n in pairs.items()})
+        n = len(words)
+        want = [sum(map(bytes.__eq__, words[1:], words)) / n, 1 - len(set(words)) / n, 1 - len(set(lines)) / len(lines), sum(map(bytes.isupper, words)) / n, 1 - sum(map(bytes.isalnum, words)) / n, sum(not w.strip(quality_classifier.SIGNS) for w in words) / n]
+        assert quality_classifier.shape(text, span) == want
